@@ -157,7 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, vocabula
     with_ = np.bincount(col, toxic[row], len(names))
     n_toxic, n_all = toxic.sum(), len(toxic)
     p, q = (with_ + 0.5) / (n_toxic + 1), (seen - with_ + 0.5) / (n_all - n_toxic + 1)
-    tells = np.sqrt(seen) * np.abs(np.log(p / q)) * (seen >= 3)
+    # log ratio over its standard error: words that are rare by chance only don't pass
+    tells = np.abs(np.log(p / q)) / np.sqrt(1 / (with_ + 0.5) + 1 / (seen - with_ + 0.5))
+    tells[tells < 2.5] = 0
     best = np.argsort(-tells, kind="stable")[:vocabulary]
     best = np.sort(best[tells[best] > 0])
     chain = Chain(names[best])
