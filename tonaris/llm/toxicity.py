@@ -18,6 +18,8 @@ from tonaris.llm.common import RangeHash, map_arrow, slices, texts_of, unit_hash
 MAX_TRAIN = 12000
 #: Words that the models may use, chosen by how much they tell about the label in the training sample.
 VOCABULARY = 4096
+#: Root of a word's likelihood ratio, about its distance from chance in standard errors.
+LEAST_TELL = 3.5
 FOLDS = 3
 CATEGORIES = ("dense", "repeated", "toxic")
 _LETTER = np.zeros(256, bool)
@@ -157,9 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, vocabula
     with_ = np.bincount(col, toxic[row], len(names))
     n_toxic, n_all = toxic.sum(), len(toxic)
     p, q = (with_ + 0.5) / (n_toxic + 1), (seen - with_ + 0.5) / (n_all - n_toxic + 1)
-    # log ratio over its standard error: words that are rare by chance only don't pass
-    tells = np.abs(np.log(p / q)) / np.sqrt(1 / (with_ + 0.5) + 1 / (seen - with_ + 0.5))
-    tells[tells < 2.5] = 0
+    # root of the likelihood ratio of the word's own share of toxic texts against the sample's
+    share = min(max(n_toxic / n_all, 1e-9), 1 - 1e-9)
+    other = seen - with_
+    ratio = with_ * np.log(np.maximum(with_, 1e-9) / (seen * share)) + other * np.log(np.maximum(other, 1e-9) / (seen * (1 - share)))
+    tells = np.sqrt(np.maximum(0, 2 * ratio))
+    tells[tells < LEAST_TELL] = 0
     best = np.argsort(-tells, kind="stable")[:vocabulary]
     best = np.sort(best[tells[best] > 0])
     chain = Chain(names[best])
