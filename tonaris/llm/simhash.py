@@ -18,13 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonaris.llm.common import map_arrow, materialise, texts_of
+from tonaris.llm.common import map_arrow, materialise, mix, texts_of
 from tonaris.llm.components import connected_components
 from tonaris.llm.tiles import Forest, pack, pairs
 
 SEED = 42
 #: Fingerprints in a block, and the mean number of them in a tile that is aimed at.
 BLOCK = 2048
+#: Bands of distance in which candidates are verified.
+BANDS = 3
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -42,13 +44,13 @@ def shingles(text: bytes, width: int) -> list[bytes]:
 
 
 def fingerprint(text: bytes, width: int = 3, words: int = 1) -> list[int]:
-    """``words`` 64-bit words; a bit is 1 if over half the shingles' hashes have it. Word k uses seed ``SEED + k``."""
+    """``words`` 64-bit words; a bit is 1 if over half the shingles' hashes have it. Words after the first mix that hash further."""
     parts = shingles(text, width)
     if not parts:
         return [0] * words
-    out = []
+    out, h = [], np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64, len(parts))
     for k in range(words):
-        h = np.fromiter((xxhash.xxh64_intdigest(s, SEED + k) for s in parts), np.uint64, len(parts))
+        h = mix(h + np.uint64(k)) if k else h
         ones = np.zeros(64, np.int64)
         for lo in range(0, len(h), 1 << 16):
             ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -102,56 +104,56 @@ def _near_tiles(packs: DataFrame, segments: int, radius: int) -> DataFrame:
     return packs.select("tile").distinct().select("tile", F.explode(F.transform(steps, lambda d: F.col("tile") + d)).alias("other"))
 
 
-def _compare(words: int, radius: int, sure: int):
+def _compare(words: int, above: int, radius: int):
+    """Block comparison: links of at most ``radius`` bits. With ``above`` < 0 a spanning forest of them, else every link of more
+    than ``above`` bits between nodes of different components."""
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out_a, out_b, out_sure = [], [], []
+        out_a, out_b = [], []
         for r in range(b.num_rows):
-            ids, fps = [], []
+            ids, fps, comp = [], [], []
             for c in (0, 1):
                 rows = b.column(c)[r].values
                 ids.append(rows.field("id").to_numpy(zero_copy_only=False))
+                comp.append(rows.field("component").to_numpy(zero_copy_only=False))
                 fps.append(rows.field("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words))
-            same = b.column(2)[r].as_py()
-            n = len(ids[0])
+            same, n = b.column(2)[r].as_py(), len(ids[0])
             every = ids[0] if same else np.concatenate(ids)
-            shift = 0 if same else n
-            forest, unsure = Forest(len(every)), []
+            forest = Forest(len(every))
             step = max(1, (1 << 19) // max(1, len(ids[1])))
             for lo in range(0, n, step):
                 d = np.zeros((min(step, n - lo), len(ids[1])), np.uint16)
                 for k in range(words):
                     d += np.bitwise_count(fps[0][lo : lo + step, k, None] ^ fps[1][None, :, k])
                 i, j = np.nonzero(d <= radius)
-                far = d[i, j] > sure
-                i, j = i + lo, j + shift
-                forest.union(i[~far], j[~far])
-                i, j = i[far], j[far]
-                open_ = forest.label[i] != forest.label[j]
-                unsure.append((i[open_], j[open_]))
+                if above < 0:
+                    forest.union(i + lo, j + (0 if same else n))
+                    continue
+                open_ = (d[i, j] > above) & (comp[0][i + lo] != comp[1][j])
+                i, j = i[open_] + lo, j[open_]
+                if same:
+                    i, j = i[i < j], j[i < j]
+                out_a.append(ids[0][i])
+                out_b.append(ids[1][j])
             i, j = forest.edges()
             out_a.append(every[i])
             out_b.append(every[j])
-            out_sure.append(np.ones(len(i), bool))
-            for i, j in unsure:
-                open_ = (forest.label[i] != forest.label[j]) & (i != j)
-                out_a.append(every[i[open_]])
-                out_b.append(every[j[open_]])
-                out_sure.append(np.zeros(int(open_.sum()), bool))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64()), pa.array(np.concatenate(out_sure))], ["a", "b", "sure"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], ["a", "b"])
 
     return run
 
 
-def near_pairs(nodes: DataFrame, words: int, radius: int, sure: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Links ``a, b, sure`` among distinct fingerprints (id, fp): a spanning forest for each pair of blocks.
+def near_pairs(nodes: DataFrame, words: int, radius: int, above: int = -1, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` among distinct fingerprints (id, fp, optionally component): a spanning forest for each pair of blocks.
 
-    With ``sure`` below ``radius``, links of more bits than ``sure`` come with sure = false, each unless its ends are
-    already joined by sure links of the same two blocks.
+    With ``above`` of 0 or more, instead all links of more bits than that whose ends are in different components.
     """
     segments = _segments(nodes.count(), 64 * words, radius)
-    packs = materialise(pack(nodes.withColumn("tile", _tile(words, segments)), "id", ["id", "fp"], block), "packs")
+    if "component" not in nodes.columns:
+        nodes = nodes.withColumn("component", F.col("id"))
+    packs = materialise(pack(nodes.withColumn("tile", _tile(words, segments)), "id", ["id", "fp", "component"], block), "packs")
     work = pairs(packs, _near_tiles(packs, segments, radius)).select("a", "b", "same").repartition(max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return map_arrow(work, _compare(words, radius, radius if sure is None else sure), "a long, b long, sure boolean")
+    return map_arrow(work, _compare(words, above, radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, words: int = 1, radius: int = 2) -> DataFrame:
@@ -162,8 +164,7 @@ def simhash_groups(docs: DataFrame, width: int = 3, words: int = 1, radius: int
     """
     prints = materialise(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, words), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("id", F.xxhash64("fp") if words > 1 else F.col("fp")[0]), "nodes")
-    links = near_pairs(nodes.select("id", "fp"), words, radius)
-    component = connected_components(links.select("a", "b"))
+    component = connected_components(near_pairs(nodes.select("id", "fp"), words, radius))
     lows = component.join(nodes.select(F.col("id").alias("node"), "low"), "node")
     low = lows.groupBy("component").agg(F.min("low").alias("component_id"))
     linked = lows.select("node", "component").join(low, "component").select(F.col("node").alias("id"), "component_id")
@@ -188,30 +189,43 @@ def _jaccard(width: int, least: float):
     return run
 
 
-def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 2) -> DataFrame:
+def _verified(unsure: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes whose texts are as similar as asked."""
+    wanted = unsure.select("a").union(unsure.select("b")).distinct()
+    some = nodes.select(F.col("id").alias("a"), F.col("first._row").alias("_row")).join(wanted, "a")
+    texts = materialise(rows.select("_row", "text").join(some, "_row").select("a", "text"), "texts")
+    both = unsure.join(texts.withColumnRenamed("text", "_x"), "a").join(texts.select(F.col("a").alias("b"), F.col("text").alias("_y")), "b")
+    return map_arrow(both.select("a", "b", "_x", "_y"), _jaccard(width, similarity), "a long, b long")
+
+
+def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (then smallest text).
 
     Two texts link if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more. Candidates
     are pairs of fingerprints (``words`` times 64 bits) within the radius that such pairs exceed by a rate of about 0.5 %;
-    those far inside it link at once, the others are verified on their texts. Texts without words are a group of their own.
+    those so near that texts of a similarity lower by 0.05 get there at about that rate link at once, the others are verified on
+    their texts unless a block's sure links join them already. Texts without words are a group of their own.
     Null doc_ids come last in the choice of the row that stays. All columns stay; those that start with ``_`` are reserved.
     ``docs`` must give its rows in the same order when it is read again, as stored tables do.
     """
     bits = 64 * words
-    wide, sure = radius_for(similarity, bits, 2.6), radius_for(0.9, bits, -1.5)
+    wide, sure = radius_for(similarity, bits, 2.6), radius_for(similarity - 0.05, bits, -2.6)
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     ids = rows.select("_row", F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), "text")
     prints = materialise(fingerprints(ids, width, words), "fingerprints")
     first = F.struct(F.col("_doc").isNull(), F.col("_doc"), F.col("_text"), F.col("_row"))
     nodes = materialise(prints.groupBy("fp").agg(F.min(first).alias("first")).withColumn("id", F.xxhash64("fp")), "nodes")
-    links = materialise(near_pairs(nodes.select("id", "fp"), words, wide, sure, 2 * BLOCK).distinct(), "links")
-    unsure = links.filter("NOT sure").select("a", "b").distinct()
-    wanted = unsure.select("a").union(unsure.select("b")).distinct()
-    some = nodes.select(F.col("id").alias("a"), F.col("first._row").alias("_row")).join(wanted, "a")
-    texts = materialise(rows.select("_row", "text").join(some, "_row").select("a", "text"), "unsure")
-    both = unsure.join(texts.withColumnRenamed("text", "_x"), "a").join(texts.select(F.col("a").alias("b"), F.col("text").alias("_y")), "b")
-    checked = map_arrow(both.select("a", "b", "_x", "_y"), _jaccard(width, similarity), "a long, b long")
-    component = connected_components(links.filter("sure").select("a", "b").union(checked))
+    nodes_of = nodes.select("id", "fp")
+    edges = materialise(near_pairs(nodes_of, words, sure, block=2 * BLOCK), "links")
+    component = connected_components(edges)
+    # farther candidates come in bands, nearest first, so that what a band joins need not be verified in the next
+    steps = [sure + (wide - sure) * k // BANDS for k in range(BANDS + 1)]
+    for above, radius in zip(steps, steps[1:], strict=False):
+        labelled = nodes_of.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        unsure = materialise(near_pairs(labelled, words, radius, above, 2 * BLOCK), "unsure").distinct()
+        checked = _verified(unsure, nodes, rows, width, similarity)
+        edges = materialise(edges.union(checked), "links")
+        component = connected_components(edges)
     grouped = nodes.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     keep = grouped.groupBy("component").agg(F.min("first").alias("_f")).select(F.col("_f._row").alias("_row"))
     return rows.join(keep, "_row", "left_semi").select(docs.columns)
