@@ -26,7 +26,10 @@ SEED = 42
 #: Fingerprints in a block, and the mean number of them in a tile that is aimed at.
 BLOCK = 2048
 #: Bands of distance in which candidates are verified.
-BANDS = 3
+BANDS = 2
+#: 64-bit words of the fingerprints that decide on near-duplicate candidates.
+LONG = 64
+_STRIDE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -44,18 +47,21 @@ def shingles(text: bytes, width: int) -> list[bytes]:
 
 
 def fingerprint(text: bytes, width: int = 3, words: int = 1) -> list[int]:
-    """``words`` 64-bit words; a bit is 1 if over half the shingles' hashes have it. Words after the first mix that hash further."""
+    """``words`` 64-bit words; a bit is 1 if over half the shingles' hashes have it. Words after the first mix that hash with their
+    number, so fewer words are a prefix of more."""
     parts = shingles(text, width)
     if not parts:
         return [0] * words
-    out, h = [], np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64, len(parts))
-    for k in range(words):
-        h = mix(h + np.uint64(k)) if k else h
-        ones = np.zeros(64, np.int64)
-        for lo in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        out.append(int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little"))
-    return out
+    first = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64, len(parts))
+    step, ones = max(1, (1 << 14) // words), np.zeros(64 * words, np.int64)
+    for lo in range(0, len(first), step):
+        h = np.repeat(first[lo : lo + step, None], words, axis=1)
+        h[:, 1:] = mix(h[:, 1:] + np.arange(1, words, dtype=np.uint64) * _STRIDE)
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        for at in range(0, len(bits), 255):  # eight counts of a byte each are added at once
+            ones += bits[at : at + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    packed = np.packbits(ones * 2 > len(first), bitorder="little").view(np.uint64)
+    return packed.tolist()
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
@@ -81,10 +87,10 @@ def _segments(n: int, bits: int, radius: int) -> int:
     return s
 
 
-def _tile(words: int, segments: int):
-    """Tile key: population counts of the segments as digits of a number to base 256 (one digit: the whole)."""
+def _tile(words: int, segments: int, grain: int):
+    """Tile key: population counts of the segments as digits of a number to base 256 (one digit: the whole, in steps of ``grain``)."""
     if segments == 1:
-        return sum([F.bit_count(F.col("fp")[k]) for k in range(1, words)], F.bit_count(F.col("fp")[0])).cast("long")
+        return F.floor(sum([F.bit_count(F.col("fp")[k]) for k in range(1, words)], F.bit_count(F.col("fp")[0])) / grain).cast("long")
     key, size = F.lit(0).cast("long"), 64 * words // segments
     for s in range(segments):
         word, at = divmod(s * size, 64)
@@ -94,7 +100,7 @@ def _tile(words: int, segments: int):
 
 
 def _near_tiles(packs: DataFrame, segments: int, radius: int) -> DataFrame:
-    """Pairs of tile keys whose counts differ by at most ``radius`` in all."""
+    """Pairs of tile keys that differ by at most ``radius`` in all."""
     base = 1 << (60 // segments) if segments > 1 else 0
     moves = [(0, 0)]
     for s in range(segments):
@@ -104,56 +110,121 @@ def _near_tiles(packs: DataFrame, segments: int, radius: int) -> DataFrame:
     return packs.select("tile").distinct().select("tile", F.explode(F.transform(steps, lambda d: F.col("tile") + d)).alias("other"))
 
 
-def _compare(words: int, above: int, radius: int):
-    """Block comparison: links of at most ``radius`` bits. With ``above`` < 0 a spanning forest of them, else every link of more
-    than ``above`` bits between nodes of different components."""
+class _Blocks:
+    """Two blocks of a batch of work, or one against itself, as arrays: ids, fingerprints and, if given, components."""
+
+    def __init__(self, b: pa.RecordBatch, r: int):
+        self.same, sides = b.column(2)[r].as_py(), [b.column(c)[r].values for c in (0, 1)]
+        field = lambda name: [x.field(name).to_numpy(zero_copy_only=False) for x in sides]
+        self.ids = field("id")
+        self.fps = [x.field("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(x), -1) for x in sides]
+        self.component = field("component") if sides[0].type.get_field_index("component") >= 0 else None
+        self.every = self.ids[0] if self.same else np.concatenate(self.ids)
+        #: What is added to an index into the second block for one into ``every``.
+        self.shift = 0 if self.same else len(self.ids[0])
+
+    def near(self, words: int, radius: int):
+        """Index pairs at most ``radius`` bits apart over the first ``words`` words, and these distances, a slab at a time."""
+        x, y = self.fps
+        step = max(1, (1 << 19) // max(1, len(y)))
+        for lo in range(0, len(x), step):
+            d = np.zeros((min(step, len(x) - lo), len(y)), np.uint16)
+            for k in range(words):
+                d += np.bitwise_count(x[lo : lo + step, k, None] ^ y[None, :, k])
+            i, j = np.nonzero(d <= radius)
+            d, i = d[i, j], i + lo
+            if self.same:
+                once = i < j
+                i, j, d = i[once], j[once], d[once]
+            yield i, j, d
+
+    def further(self, i: np.ndarray, j: np.ndarray, d: np.ndarray, words: int) -> np.ndarray:
+        """Distances over all words from those over the first ``words``."""
+        d = d.astype(np.int32)
+        for k in range(words, self.fps[0].shape[1]):
+            d += np.bitwise_count(self.fps[0][i, k] ^ self.fps[1][j, k])
+        return d
+
+
+def _each(compare):
+    """An Arrow function of batches of block pairs from one that appends to lists of ends, a block pair at a time."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out_a, out_b = [], []
+        a_of, b_of = [], []
         for r in range(b.num_rows):
-            ids, fps, comp = [], [], []
-            for c in (0, 1):
-                rows = b.column(c)[r].values
-                ids.append(rows.field("id").to_numpy(zero_copy_only=False))
-                comp.append(rows.field("component").to_numpy(zero_copy_only=False))
-                fps.append(rows.field("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words))
-            same, n = b.column(2)[r].as_py(), len(ids[0])
-            every = ids[0] if same else np.concatenate(ids)
-            forest = Forest(len(every))
-            step = max(1, (1 << 19) // max(1, len(ids[1])))
-            for lo in range(0, n, step):
-                d = np.zeros((min(step, n - lo), len(ids[1])), np.uint16)
-                for k in range(words):
-                    d += np.bitwise_count(fps[0][lo : lo + step, k, None] ^ fps[1][None, :, k])
-                i, j = np.nonzero(d <= radius)
-                if above < 0:
-                    forest.union(i + lo, j + (0 if same else n))
-                    continue
-                open_ = (d[i, j] > above) & (comp[0][i + lo] != comp[1][j])
-                i, j = i[open_] + lo, j[open_]
-                if same:
-                    i, j = i[i < j], j[i < j]
-                out_a.append(ids[0][i])
-                out_b.append(ids[1][j])
-            i, j = forest.edges()
-            out_a.append(every[i])
-            out_b.append(every[j])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], ["a", "b"])
+            compare(_Blocks(b, r), a_of, b_of)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (a_of, b_of)], ["a", "b"])
 
     return run
 
 
-def near_pairs(nodes: DataFrame, words: int, radius: int, above: int = -1, block: int = BLOCK) -> DataFrame:
-    """Links ``a, b`` among distinct fingerprints (id, fp, optionally component): a spanning forest for each pair of blocks.
+def _put(forest: Forest, every: np.ndarray, a_of: list, b_of: list) -> None:
+    i, j = forest.edges()
+    a_of.append(every[i])
+    b_of.append(every[j])
 
-    With ``above`` of 0 or more, instead all links of more bits than that whose ends are in different components.
+
+def _forest(words: int, radius: int, wide: int):
+    """A spanning forest of the links of at most ``radius`` bits, and a loop for each node with a partner of at most ``wide`` bits that these links had not joined to it."""
+
+    def compare(blocks: _Blocks, a_of: list, b_of: list) -> None:
+        forest = Forest(len(blocks.every))
+        marked = np.zeros(len(blocks.every), bool)
+        for i, j, d in blocks.near(words, max(radius, wide)):
+            j = j + blocks.shift
+            forest.union(i[d <= radius], j[d <= radius])
+            if wide > radius:
+                apart = forest.label[i] != forest.label[j]
+                marked[i[apart]] = marked[j[apart]] = True
+        _put(forest, blocks.every, a_of, b_of)
+        a_of.append(blocks.every[marked])
+        b_of.append(blocks.every[marked])
+
+    return _each(compare)
+
+
+def _long_forest(words: int, wide: int, radius: int):
+    """A spanning forest of the links of at most ``radius`` bits over all words, among pairs of at most ``wide`` bits over the first ``words``."""
+
+    def compare(blocks: _Blocks, a_of: list, b_of: list) -> None:
+        forest = Forest(len(blocks.every))
+        for i, j, d in blocks.near(words, wide):
+            apart = forest.label[i] != forest.label[j + blocks.shift]
+            i, j = i[apart], j[apart]
+            close = blocks.further(i, j, d[apart], words) <= radius
+            forest.union(i[close], j[close] + blocks.shift)
+        _put(forest, blocks.every, a_of, b_of)
+
+    return _each(compare)
+
+
+def _long_pairs(words: int, wide: int, above: int, radius: int):
+    """Every pair of nodes of different components with more than ``above`` and at most ``radius`` bits over all words, and at most ``wide`` over the first ``words``."""
+
+    def compare(blocks: _Blocks, a_of: list, b_of: list) -> None:
+        for i, j, d in blocks.near(words, wide):
+            apart = blocks.component[0][i] != blocks.component[1][j]
+            i, j = i[apart], j[apart]
+            d = blocks.further(i, j, d[apart], words)
+            unsure = (d > above) & (d <= radius)
+            a_of.append(blocks.ids[0][i[unsure]])
+            b_of.append(blocks.ids[1][j[unsure]])
+
+    return _each(compare)
+
+
+def near_pairs(nodes: DataFrame, words: int, radius: int, compare=None, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` that ``compare`` finds in pairs of blocks of distinct fingerprints (id, fp, optionally component); by default
+    a spanning forest of each pair's links of at most ``radius`` bits.
+
+    Pairs of tiles in which no two fingerprints are within ``radius`` bits over the first ``words`` words are skipped. If the
+    radius is so wide that single counts would hardly rule out any, a tile has a range of counts as wide as it.
     """
     segments = _segments(nodes.count(), 64 * words, radius)
-    if "component" not in nodes.columns:
-        nodes = nodes.withColumn("component", F.col("id"))
-    packs = materialise(pack(nodes.withColumn("tile", _tile(words, segments)), "id", ["id", "fp", "component"], block), "packs")
-    work = pairs(packs, _near_tiles(packs, segments, radius)).select("a", "b", "same").repartition(max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return map_arrow(work, _compare(words, above, radius), "a long, b long")
+    grain = radius + 1 if radius > 4 * words else 1
+    packs = materialise(pack(nodes.withColumn("tile", _tile(words, segments, grain)), "id", nodes.columns, block), "packs")
+    work = pairs(packs, _near_tiles(packs, segments, 1 if grain > 1 else radius)).select("a", "b", "same").repartition(max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return map_arrow(work, compare or _forest(words, radius, -1), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, words: int = 1, radius: int = 2) -> DataFrame:
@@ -189,12 +260,10 @@ def _jaccard(width: int, least: float):
     return run
 
 
-def _verified(unsure: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose texts are as similar as asked."""
-    wanted = unsure.select("a").union(unsure.select("b")).distinct()
-    some = nodes.select(F.col("id").alias("a"), F.col("first._row").alias("_row")).join(wanted, "a")
-    texts = materialise(rows.select("_row", "text").join(some, "_row").select("a", "text"), "texts")
-    both = unsure.join(texts.withColumnRenamed("text", "_x"), "a").join(texts.select(F.col("a").alias("b"), F.col("text").alias("_y")), "b")
+def _verified(unsure: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes whose texts (id, text) are as similar as asked."""
+    x, y = (texts.select(F.col("id").alias(end), F.col("text").alias(name)) for end, name in (("a", "_x"), ("b", "_y")))
+    both = unsure.join(x, "a").join(y, "b")
     return map_arrow(both.select("a", "b", "_x", "_y"), _jaccard(width, similarity), "a long, b long")
 
 
@@ -202,29 +271,32 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (then smallest text).
 
     Two texts link if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more. Candidates
-    are pairs of fingerprints (``words`` times 64 bits) within the radius that such pairs exceed by a rate of about 0.5 %;
-    those so near that texts of a similarity lower by 0.05 get there at about that rate link at once, the others are verified on
-    their texts unless a block's sure links join them already. Texts without words are a group of their own.
-    Null doc_ids come last in the choice of the row that stays. All columns stay; those that start with ``_`` are reserved.
-    ``docs`` must give its rows in the same order when it is read again, as stored tables do.
+    are pairs of fingerprints (``words`` times 64 bits) within the radius that such pairs exceed by a rate of about 0.5 %.
+    Those within the radius that pairs at the threshold keep to at about that rate link at once. Texts with other candidates
+    get fingerprints of ``LONG`` words, on which the same two radii lie closer together: pairs between them are verified on
+    their texts, in bands of rising distance, unless links found before join them already. Texts without words are a group
+    of their own. Null doc_ids come last in the choice of the row that stays. All columns stay; those that start with ``_``
+    are reserved. ``docs`` must give its rows in the same order when it is read again, as stored tables do.
     """
-    bits = 64 * words
-    wide, sure = radius_for(similarity, bits, 2.6), radius_for(similarity - 0.05, bits, -2.6)
+    sure, wide = (radius_for(similarity, 64 * words, x) for x in (-2.6, 2.6))
+    low, high = (radius_for(similarity, 64 * LONG, x) for x in (-2.6, 2.6))
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     ids = rows.select("_row", F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), "text")
     prints = materialise(fingerprints(ids, width, words), "fingerprints")
     first = F.struct(F.col("_doc").isNull(), F.col("_doc"), F.col("_text"), F.col("_row"))
     nodes = materialise(prints.groupBy("fp").agg(F.min(first).alias("first")).withColumn("id", F.xxhash64("fp")), "nodes")
-    nodes_of = nodes.select("id", "fp")
-    edges = materialise(near_pairs(nodes_of, words, sure, block=2 * BLOCK), "links")
+    edges = materialise(near_pairs(nodes.select("id", "fp"), words, wide, _forest(words, sure, wide), 2 * BLOCK), "links")
+    marked = edges.filter("a = b").select(F.col("a").alias("id")).distinct()
+    some = nodes.select("id", F.col("first._row").alias("_row")).join(marked, "id")
+    texts = materialise(rows.select("_row", "text").join(some, "_row").select("id", "text"), "texts")
+    long = materialise(fingerprints(texts, width, LONG), "long")
+    edges = materialise(edges.filter("a <> b").union(near_pairs(long, words, wide, _long_forest(words, wide, low))), "links")
     component = connected_components(edges)
-    # farther candidates come in bands, nearest first, so that what a band joins need not be verified in the next
-    steps = [sure + (wide - sure) * k // BANDS for k in range(BANDS + 1)]
+    steps = [low + (high - low) * k // BANDS for k in range(BANDS + 1)]
     for above, radius in zip(steps, steps[1:], strict=False):
-        labelled = nodes_of.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        unsure = materialise(near_pairs(labelled, words, radius, above, 2 * BLOCK), "unsure").distinct()
-        checked = _verified(unsure, nodes, rows, width, similarity)
-        edges = materialise(edges.union(checked), "links")
+        labelled = long.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        unsure = materialise(near_pairs(labelled, words, wide, _long_pairs(words, wide, above, radius)), "unsure")
+        edges = materialise(edges.union(_verified(unsure, texts, width, similarity)), "links")
         component = connected_components(edges)
     grouped = nodes.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     keep = grouped.groupBy("component").agg(F.min("first").alias("_f")).select(F.col("_f._row").alias("_row"))
