@@ -10,9 +10,11 @@ from tonaris.llm.common import materialise
 MAX_ROUNDS = 60
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return row["n"], row["x"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (a > b) are stars: each node but a centre has one edge, to its centre."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter("up > 1 OR up = 1 AND down = 1").count() == 0
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,9 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialise(e, "edges")
-    mark = _mark(e)
     for _ in range(MAX_ROUNDS):
-        if mark[0] == 0:
+        if _settled(e):
             break
         # large star: neighbours above a node go to the node's smallest neighbour
         both = e.union(e.select("b", "a"))
@@ -35,10 +36,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = e.groupBy("a").agg(F.min("b").alias("_m"))
         moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
         e = materialise(moved.union(least.select("a", F.col("_m").alias("b"))).filter("a <> b").distinct(), "edges")
-        now = _mark(e)
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def join_components(component: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component`` over further edges (a, b), given the components (node, component) over those before.
+
+    Edges are drawn between components, so the rounds don't see again what is joined already.
+    """
+    label = lambda end: component.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    between = edges.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    found = materialise(connected_components(between), "joined")
+    moved = component.join(found.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left")
+    new = found.join(component.select("node"), "node", "left_anti").select("node", "component")
+    return materialise(moved.select("node", F.coalesce("_c", "component").alias("component")).union(new), "components")

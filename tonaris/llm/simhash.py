@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonaris.llm.common import map_arrow, materialise, mix, texts_of
-from tonaris.llm.components import connected_components
+from tonaris.llm.components import connected_components, join_components
 from tonaris.llm.tiles import Forest, pack, pairs
 
 SEED = 42
@@ -290,14 +290,12 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words:
     some = nodes.select("id", F.col("first._row").alias("_row")).join(marked, "id")
     texts = materialise(rows.select("_row", "text").join(some, "_row").select("id", "text"), "texts")
     long = materialise(fingerprints(texts, width, LONG), "long")
-    edges = materialise(edges.filter("a <> b").union(near_pairs(long, words, wide, _long_forest(words, wide, low))), "links")
-    component = connected_components(edges)
+    component = materialise(connected_components(edges.filter("a <> b").union(near_pairs(long, words, wide, _long_forest(words, wide, low)))), "components")
     steps = [low + (high - low) * k // BANDS for k in range(BANDS + 1)]
     for above, radius in zip(steps, steps[1:], strict=False):
         labelled = long.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         unsure = materialise(near_pairs(labelled, words, wide, _long_pairs(words, wide, above, radius)), "unsure")
-        edges = materialise(edges.union(_verified(unsure, texts, width, similarity)), "links")
-        component = connected_components(edges)
+        component = join_components(component, _verified(unsure, texts, width, similarity))
     grouped = nodes.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     keep = grouped.groupBy("component").agg(F.min("first").alias("_f")).select(F.col("_f._row").alias("_row"))
     return rows.join(keep, "_row", "left_semi").select(docs.columns)
