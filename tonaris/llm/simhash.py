@@ -285,16 +285,16 @@ def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words:
     prints = materialise(fingerprints(ids, width, words), "fingerprints")
     first = F.struct(F.col("_doc").isNull(), F.col("_doc"), F.col("_text"), F.col("_row"))
     nodes = materialise(prints.groupBy("fp").agg(F.min(first).alias("first")).withColumn("id", F.xxhash64("fp")), "nodes")
-    edges = materialise(near_pairs(nodes.select("id", "fp"), words, wide, _forest(words, sure, wide), 2 * BLOCK), "links")
+    edges = materialise(near_pairs(nodes.select("id", "fp"), words, wide, _forest(words, sure, wide), 4 * BLOCK), "links")
     marked = edges.filter("a = b").select(F.col("a").alias("id")).distinct()
     some = nodes.select("id", F.col("first._row").alias("_row")).join(marked, "id")
     texts = materialise(rows.select("_row", "text").join(some, "_row").select("id", "text"), "texts")
     long = materialise(fingerprints(texts, width, LONG), "long")
-    component = materialise(connected_components(edges.filter("a <> b").union(near_pairs(long, words, wide, _long_forest(words, wide, low)))), "components")
+    component = materialise(connected_components(edges.filter("a <> b").union(near_pairs(long, words, wide, _long_forest(words, wide, low), 2 * BLOCK))), "components")
     steps = [low + (high - low) * k // BANDS for k in range(BANDS + 1)]
     for above, radius in zip(steps, steps[1:], strict=False):
         labelled = long.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        unsure = materialise(near_pairs(labelled, words, wide, _long_pairs(words, wide, above, radius)), "unsure")
+        unsure = materialise(near_pairs(labelled, words, wide, _long_pairs(words, wide, above, radius), 2 * BLOCK), "unsure")
         component = join_components(component, _verified(unsure, texts, width, similarity))
     grouped = nodes.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     keep = grouped.groupBy("component").agg(F.min("first").alias("_f")).select(F.col("_f._row").alias("_row"))
