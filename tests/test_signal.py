@@ -32,6 +32,20 @@ def test_waveform_cases(spark, l, r, n, want):  # noqa: E741
         framing.waveform(samples(spark, [1]), 0)
 
 
+@pytest.mark.parametrize("n", [40, 64, 99, 200])
+def test_spectra_read_every_frame(spark, n):
+    x = 0.5 * np.sin(2 * np.pi * 5 / 64 * np.arange(n)) + 0.1 * np.arange(n)
+    table = samples(spark, x.tolist())
+    bins = framing.dft_bin_blocks(table, 3, 64).orderBy("block").collect()
+    want = [np.sum(x[k : k + 64] * np.exp(-2j * np.pi * 3 / 64 * np.arange(len(x[k : k + 64])))) for k in range(0, n, 64)]
+    assert [r["frames"] for r in bins] == [len(x[k : k + 64]) for k in range(0, n, 64)]
+    assert [complex(r["re"], r["im"]) for r in bins] == pytest.approx(want, abs=1e-9)
+    c, s1, s2 = 2 * np.cos(2 * np.pi * 5 / 64), 0.0, 0.0
+    for v in x:
+        s1, s2 = v + c * s1 - s2, s1
+    assert framing.goertzel(table, 5 / 64).first()["magnitude"] == pytest.approx(2 * np.sqrt(s1 * s1 + s2 * s2 - c * s1 * s2) / n, abs=1e-9)
+
+
 def test_packet_durations(spark):
     cases = [(None, None, -1), (0, 0, 480), (1 << 3, 0, 960), (2 << 3, 0, 1920), (3 << 3, 0, 2880), (12 << 3, 0, 480), (15 << 3, 0, 960), (16 << 3, 0, 120), (17 << 3, 0, 240), (22 << 3, 0, 480), (31 << 3, 0, 960), (31 << 3 | 1, 0, 1920), (31 << 3 | 3, 3, 2880), (31 << 3 | 3, 6, 5760), (28 << 3 | 3, None, -1), (31 << 3 | 3, 0, -1), (31 << 3 | 3, 0x30, -1)]
     table = spark.createDataFrame(cases, "toc int, second int, want int")

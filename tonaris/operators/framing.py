@@ -97,6 +97,20 @@ def dft_bin(samples: DataFrame, k: int, size: int) -> DataFrame:
     return downmix(samples.filter(F.col("frame") < size)).groupBy("track").agg(F.sum(F.col("mono") * F.cos(angle)).alias("re"), F.sum(F.col("mono") * F.sin(angle)).alias("im"))
 
 
+def dft_bin_blocks(samples: DataFrame, k: int, size: int) -> DataFrame:
+    """One DFT bin of the mono signal of every block of ``size`` frames of each track, the last one as short as it is: ``track, block, frames, re, im``."""
+    angle = -2 * math.pi * k / size * (F.col("frame") % size)
+    keyed = downmix(samples).groupBy("track", F.floor(F.col("frame") / size).cast("long").alias("block"))
+    return keyed.agg(F.count("*").alias("frames"), F.sum(F.col("mono") * F.cos(angle)).alias("re"), F.sum(F.col("mono") * F.sin(angle)).alias("im"))
+
+
+def goertzel(samples: DataFrame, cycles: float) -> DataFrame:
+    """Magnitude of the frequency of ``cycles`` a frame in the mono signal over all n frames of each track, normalised by 2 / n."""
+    angle = 2 * math.pi * cycles * F.col("frame")
+    re, im = (F.sum(F.col("mono") * f(angle)) for f in (F.cos, F.sin))
+    return downmix(samples).groupBy("track").agg((2 * F.sqrt(re * re + im * im) / F.count("*")).alias("magnitude"))
+
+
 def crossfade(outgoing: DataFrame, incoming: DataFrame, ramp: int) -> DataFrame:
     """Equal-power mix of (id, i, l, r) on ramp frames i = 0 .. ramp - 1; a side that is missing is silent."""
     a = outgoing.filter(F.col("i").between(0, ramp - 1)).select("id", "i", F.col("l").alias("_al"), F.col("r").alias("_ar"))

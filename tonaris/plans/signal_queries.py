@@ -160,6 +160,13 @@ query("dft_bin", f"SELECT track, {g('sum((l + r) / 2 * cos(-2 * pi() * 3 / 64 *
 query("goertzel", f"SELECT track, {g('sqrt(pow(sum((l + r) / 2 * cos(-2 * pi() * 5 / 64 * frame)), 2) + pow(sum((l + r) / 2 * sin(-2 * pi() * 5 / 64 * frame)), 2)) / 32')} AS magnitude FROM sig WHERE frame < 64 GROUP BY track")(
     lambda s, p: framing.dft_bin(sig(s, p), 5, 64).select("track", grid(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / 32).alias("magnitude"))
 )
+# dft_bin and goertzel read the first 64 frames, as their SQL does; these two read every frame
+query("dft_bin_blocks", f"SELECT track, frame // 64 AS block, count(*) AS frames, {g('sum((l + r) / 2 * cos(-2 * pi() * 3 / 64 * (frame % 64)))')} AS re, {g('sum((l + r) / 2 * sin(-2 * pi() * 3 / 64 * (frame % 64)))')} AS im FROM sig GROUP BY track, frame // 64")(
+    lambda s, p: framing.dft_bin_blocks(sig(s, p), 3, 64).select("track", "block", "frames", grid(F.col("re")).alias("re"), grid(F.col("im")).alias("im"))
+)
+query("goertzel_track", f"SELECT track, {g('2 * sqrt(pow(sum((l + r) / 2 * cos(2 * pi() * 5 / 64 * frame)), 2) + pow(sum((l + r) / 2 * sin(2 * pi() * 5 / 64 * frame)), 2)) / count(*)')} AS magnitude FROM sig GROUP BY track")(
+    lambda s, p: framing.goertzel(sig(s, p), 5 / 64).select("track", grid(F.col("magnitude")).alias("magnitude"))
+)
 query("null_depth", f"SELECT track, {g('20 * log10(sqrt(avg((l - r) * (l - r))) / sqrt(avg(l * l)))')} AS depth FROM sig GROUP BY track")(
     lambda s, p: sig(s, p).groupBy("track").agg(grid(20 * F.log10(F.sqrt(F.avg((F.col("l") - F.col("r")) * (F.col("l") - F.col("r")))) / F.sqrt(F.avg(F.col("l") * F.col("l"))))).alias("depth"))
 )
