@@ -150,6 +150,19 @@ def test_mixing_targets_and_takes(spark, odd):
     assert mixing.mix_sources(odd).count() == len(ODD) and mixing.mix_sources(odd.limit(0)).count() == 0
 
 
+def test_every_pass_has_its_position(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, s) for i, s in enumerate(["a"] * 900 + ["b"] * 20 + ["c"] * 80)], "doc_id long, text string, source string")
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    rows = mixing.mix_sources(docs).collect()
+    assert all(len(r["positions"]) == r["copies"] and r["positions"] == sorted(r["positions"]) for r in rows)
+    assert all(r["positions"][:1] == ([] if r["position"] is None else [r["position"]]) for r in rows)
+    small = sorted(p for r in rows if source[r["doc_id"]] == "b" for p in r["positions"])
+    # b takes all of its 20 documents three times, with schedule 4, 3, 2, 1: tenths of its demand in the quarters of training
+    assert len(small) == 60 and [sum(k / 4 <= p < (k + 1) / 4 for p in small) for k in range(4)] == [24, 18, 12, 6]
+    out = q.op2_mixing_schedule(spark, SF)
+    assert out.columns == ["doc_id", "taken", "copies", "positions"] and out.filter(F.size("positions") != F.col("copies")).count() == 0
+
+
 def test_schedules_are_inverted(spark):
     rows = spark.range(0, 101).select((F.col("id") / 100.0).alias("s"), *[mixing.invert_schedule(F.col("id") / 100.0, F.lit(k)).alias(f"t{k}") for k in range(3)]).collect()
     for k, phases in mixing.SCHEDULES.items():

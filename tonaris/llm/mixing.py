@@ -7,8 +7,8 @@
    taken in two levels (hash buckets, then within a bucket), so a source with a third of all rows
    is spread over all tasks.
 3. Positions: the weight schedule of a source over training time is integrated; a document's place in
-   its source's cumulative demand is put through the inverse of that integral.
-4. Documents are range-sorted by position.
+   its source's cumulative demand, one for each pass that takes some of it, is put through the inverse of that integral.
+4. Documents are range-sorted by their first position.
 """
 
 from __future__ import annotations
@@ -73,12 +73,13 @@ def invert_schedule(share: Column, rank: Column, schedules: dict[int, tuple[floa
 
 
 def mix_sources(docs: DataFrame, repeats: int = 3, seed: str = "mix", buckets: int = BUCKETS) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, copies, position.
+    """One row for each row of ``docs``: doc_id, size, source_size, target, taken, copies, position, positions.
 
     ``size`` counts words (null text: 0). ``taken`` is the number of words that the mix takes of the row,
     all passes over its source together: every pass takes whole documents, but for the one in each source
     at which the target is met, of which it takes as many words as are still wanted. ``copies`` counts the
-    passes that take some of it, ``position`` is the training time of the first (null if none takes any).
+    passes that take some of it, ``positions`` has the training time of each of these in order, and ``position``
+    is the first of them (null if none takes any).
     Order within a source is by md5 of seed and doc_id, then doc_id, then size, so reruns agree; rows equal
     in those three are interchangeable. Null doc_ids come first. A null source is a source of its own.
     The result is range-sorted by position, rows that are not taken last.
@@ -104,9 +105,9 @@ def mix_sources(docs: DataFrame, repeats: int = 3, seed: str = "mix", buckets: i
     takes = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("_wanted") - F.col("_start") - r * F.col("source_size"))) for r in range(repeats)]
     taken = sum(takes[1:], takes[0])
     copies = sum([F.when(t > 0, 1).otherwise(0) for t in takes[1:]], F.when(takes[0] > 0, 1).otherwise(0))
-    middle = (F.col("_start") + takes[0] / 2) / F.col("target")
-    position = F.when(takes[0] > 0, invert_schedule(middle, F.col("rank")))
-    out = placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.alias("copies"), position.alias("position"))
+    times = [F.when(t > 0, invert_schedule((F.col("_start") + r * F.col("source_size") + t / 2) / F.col("target"), F.col("rank"))) for r, t in enumerate(takes)]
+    positions = F.array_compact(F.array(*times)).alias("positions")
+    out = placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.alias("copies"), times[0].alias("position"), positions)
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
