@@ -265,6 +265,14 @@ def test_near_dedup_keeps_one_of_each_group(spark, odd):
     assert simhash.near_dedup(odd.limit(0)).count() == 0
 
 
+def test_repeats_neither_link_nor_part(spark):
+    rng = random.Random(8)
+    one, two, three = (" ".join(f"{g}x{rng.randrange(10**6)}" for _ in range(n)) for g, n in (("a", 200), ("b", 200), ("c", 400)))
+    filler = " -" * 60
+    table = spark.createDataFrame([(1, one + filler), (2, two + filler), (3, three), (4, three + filler)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(table).collect()) == [1, 2, 3]
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     chain = toxicity.fit(docs, labels.filter("doc_id % 3 <> 0"))

@@ -46,13 +46,21 @@ def shingles(text: bytes, width: int) -> list[bytes]:
     return [joined[s:e] for s, e in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
 
 
+def hashes(text: bytes, width: int) -> np.ndarray:
+    parts = shingles(text, width)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64, len(parts))
+
+
 def fingerprint(text: bytes, width: int = 3, words: int = 1) -> list[int]:
+    """Fingerprint of the shingles of a text, each as often as it occurs."""
+    return majority(hashes(text, width), words)
+
+
+def majority(first: np.ndarray, words: int) -> list[int]:
     """``words`` 64-bit words; a bit is 1 if over half the shingles' hashes have it. Words after the first mix that hash with their
     number, so fewer words are a prefix of more."""
-    parts = shingles(text, width)
-    if not parts:
+    if not len(first):
         return [0] * words
-    first = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64, len(parts))
     step, ones = max(1, (1 << 14) // words), np.zeros(64 * words, np.int64)
     for lo in range(0, len(first), step):
         h = np.repeat(first[lo : lo + step, None], words, axis=1)
@@ -77,6 +85,24 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
     return map_arrow(docs.select(*names, "text"), run, f"{schema}, fp array<long>")
 
 
+def set_fingerprints(docs: DataFrame, width: int, words: int, short: int = 0) -> DataFrame:
+    """All columns of ``docs`` but text; of the set of a text's shingles ``n`` (its size), ``key`` (a hash of the whole set), ``fp``
+    (each shingle once) and ``set`` (its sorted hashes, null for more than ``short`` shingles)."""
+    own = docs.drop("n", "key", "fp", "set", "text")
+    names = own.columns
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(hashes(t, width)) for t in texts_of(b.column(len(names)))]
+        fps = [np.array(majority(x, words), np.uint64).view(np.int64) for x in sets]
+        keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+        few = [x.view(np.int64) if len(x) <= short else None for x in sets]
+        made = [pa.array([len(x) for x in sets], pa.int32()), pa.array(keys), pa.array(fps, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*b.columns[: len(names)], *made], [*names, "n", "key", "fp", "set"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return map_arrow(docs.select(*names, "text"), run, f"{schema}, n int, key long, fp array<long>, set array<long>")
+
+
 def _segments(n: int, bits: int, radius: int) -> int:
     """Segments of a fingerprint whose counts key a tile: enough for tiles of about ``BLOCK`` of n fingerprints."""
     if radius > bits // 16:
@@ -164,36 +190,45 @@ def _put(forest: Forest, every: np.ndarray, a_of: list, b_of: list) -> None:
     b_of.append(every[j])
 
 
-def _forest(words: int, radius: int, wide: int):
-    """A spanning forest of the links of at most ``radius`` bits, and a loop for each node with a partner of at most ``wide`` bits that these links had not joined to it."""
+def _forest(words: int, radius: int):
+    """A spanning forest of the links of at most ``radius`` bits."""
 
     def compare(blocks: _Blocks, a_of: list, b_of: list) -> None:
         forest = Forest(len(blocks.every))
-        marked = np.zeros(len(blocks.every), bool)
-        for i, j, d in blocks.near(words, max(radius, wide)):
-            j = j + blocks.shift
-            forest.union(i[d <= radius], j[d <= radius])
-            if wide > radius:
-                apart = forest.label[i] != forest.label[j]
-                marked[i[apart]] = marked[j[apart]] = True
+        for i, j, _ in blocks.near(words, radius):
+            forest.union(i, j + blocks.shift)
         _put(forest, blocks.every, a_of, b_of)
+
+    return _each(compare)
+
+
+def _partnered(words: int, radius: int):
+    """A loop for each node with a partner of at most ``radius`` bits."""
+
+    def compare(blocks: _Blocks, a_of: list, b_of: list) -> None:
+        marked = np.zeros(len(blocks.every), bool)
+        for i, j, _ in blocks.near(words, radius):
+            marked[i] = marked[j + blocks.shift] = True
         a_of.append(blocks.every[marked])
         b_of.append(blocks.every[marked])
 
     return _each(compare)
 
 
-def _long_forest(words: int, wide: int, radius: int):
-    """A spanning forest of the links of at most ``radius`` bits over all words, among pairs of at most ``wide`` bits over the first ``words``."""
+def _long_tree(words: int, wide: int, radius: int):
+    """Pairs that join all that pairs of at most ``radius`` bits over all words do, close ones first, among pairs of at most ``wide`` bits over the first ``words``."""
 
     def compare(blocks: _Blocks, a_of: list, b_of: list) -> None:
         forest = Forest(len(blocks.every))
-        for i, j, d in blocks.near(words, wide):
-            apart = forest.label[i] != forest.label[j + blocks.shift]
-            i, j = i[apart], j[apart]
-            close = blocks.further(i, j, d[apart], words) <= radius
-            forest.union(i[close], j[close] + blocks.shift)
-        _put(forest, blocks.every, a_of, b_of)
+        for bound in (radius // 2, radius):
+            for i, j, d in blocks.near(words, wide):
+                apart = forest.label[i] != forest.label[j + blocks.shift]
+                i, j = i[apart], j[apart]
+                close = blocks.further(i, j, d[apart], words) <= bound
+                i, j = i[close], j[close]
+                chosen = forest.tree(i, j + blocks.shift)
+                a_of.append(blocks.ids[0][i[chosen]])
+                b_of.append(blocks.ids[1][j[chosen]])
 
     return _each(compare)
 
@@ -224,7 +259,7 @@ def near_pairs(nodes: DataFrame, words: int, radius: int, compare=None, block: i
     grain = radius + 1 if radius > 4 * words else 1
     packs = materialise(pack(nodes.withColumn("tile", _tile(words, segments, grain)), "id", nodes.columns, block), "packs")
     work = pairs(packs, _near_tiles(packs, segments, 1 if grain > 1 else radius)).select("a", "b", "same").repartition(max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return map_arrow(work, compare or _forest(words, radius, -1), "a long, b long")
+    return map_arrow(work, compare or _forest(words, radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, words: int = 1, radius: int = 2) -> DataFrame:
@@ -270,28 +305,28 @@ def _verified(unsure: DataFrame, texts: DataFrame, width: int, similarity: float
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (then smallest text).
 
-    Two texts link if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more. Candidates
-    are pairs of fingerprints (``words`` times 64 bits) within the radius that such pairs exceed by a rate of about 0.5 %.
-    Those within the radius that pairs at the threshold keep to at about that rate link at once. Texts with other candidates
-    get fingerprints of ``LONG`` words, on which the same two radii lie closer together: pairs between them are verified on
-    their texts, in bands of rising distance, unless links found before join them already. Texts without words are a group
+    Two texts link if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more; texts with equal
+    sets are one node. Candidates are fingerprints of the sets (``words`` times 64 bits) within the radius that pairs at the
+    threshold exceed at a rate of about 0.5 %. These texts get fingerprints of ``LONG`` words, with a radius
+    that loses as much again. Every candidate is verified on the texts unless verified links join it already: first those
+    that would join all close ones, then the others in bands of rising distance. Texts without words are a group
     of their own. Null doc_ids come last in the choice of the row that stays. All columns stay; those that start with ``_``
     are reserved. ``docs`` must give its rows in the same order when it is read again, as stored tables do.
     """
-    sure, wide = (radius_for(similarity, 64 * words, x) for x in (-2.6, 2.6))
-    low, high = (radius_for(similarity, 64 * LONG, x) for x in (-2.6, 2.6))
+    wide, high = (radius_for(similarity, 64 * w, 2.6) for w in (words, LONG))
+    low = radius_for(similarity, 64 * LONG, -2.6)
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     ids = rows.select("_row", F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), "text")
-    prints = materialise(fingerprints(ids, width, words), "fingerprints")
+    prints = materialise(set_fingerprints(ids, width, words).withColumnRenamed("key", "id"), "fingerprints")
     first = F.struct(F.col("_doc").isNull(), F.col("_doc"), F.col("_text"), F.col("_row"))
-    nodes = materialise(prints.groupBy("fp").agg(F.min(first).alias("first")).withColumn("id", F.xxhash64("fp")), "nodes")
-    edges = materialise(near_pairs(nodes.select("id", "fp"), words, wide, _forest(words, sure, wide), 4 * BLOCK), "links")
-    marked = edges.filter("a = b").select(F.col("a").alias("id")).distinct()
+    nodes = materialise(prints.groupBy("id", "n", "fp").agg(F.min(first).alias("first")), "nodes")
+    marked = near_pairs(nodes.filter(F.col("n") > 0).select("id", "fp"), words, wide, _partnered(words, wide), 4 * BLOCK).select(F.col("a").alias("id")).distinct()
     some = nodes.select("id", F.col("first._row").alias("_row")).join(marked, "id")
     texts = materialise(rows.select("_row", "text").join(some, "_row").select("id", "text"), "texts")
-    long = materialise(fingerprints(texts, width, LONG), "long")
-    component = materialise(connected_components(edges.filter("a <> b").union(near_pairs(long, words, wide, _long_forest(words, wide, low), 2 * BLOCK))), "components")
-    steps = [low + (high - low) * k // BANDS for k in range(BANDS + 1)]
+    long = materialise(set_fingerprints(texts, width, LONG).select("id", "fp"), "long")
+    tree = near_pairs(long, words, wide, _long_tree(words, wide, low), 2 * BLOCK).distinct()
+    component = materialise(connected_components(_verified(tree, texts, width, similarity)), "components")
+    steps = [-1, *(low + (high - low) * k // BANDS for k in range(1, BANDS + 1))]
     for above, radius in zip(steps, steps[1:], strict=False):
         labelled = long.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         unsure = materialise(near_pairs(labelled, words, wide, _long_pairs(words, wide, above, radius), 2 * BLOCK), "unsure")

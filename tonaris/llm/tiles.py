@@ -60,6 +60,27 @@ class Forest:
                 parent = up
             self.label = parent[self.label]
 
+    def tree(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """As ``union``; returns which of the links joined two groups, so that they alone make the same groups."""
+        at, chosen = np.arange(len(i)), [np.zeros(0, np.int64)]
+        while True:
+            a, b = self.label[i[at]], self.label[j[at]]
+            open_ = a != b
+            if not open_.any():
+                return np.concatenate(chosen)
+            at, a, b = at[open_], a[open_], b[open_]
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            parent = np.arange(len(self.label))
+            np.minimum.at(parent, high, low)
+            least = np.flatnonzero(parent[high] == low)
+            chosen.append(at[least[np.unique(high[least], return_index=True)[1]]])
+            while True:
+                up = parent[parent]
+                if (up == parent).all():
+                    break
+                parent = up
+            self.label = parent[self.label]
+
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """A star for each group: its nodes but the root, and their roots."""
         i = np.flatnonzero(self.label != np.arange(len(self.label)))
