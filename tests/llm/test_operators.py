@@ -273,6 +273,30 @@ def test_repeats_neither_link_nor_part(spark):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(table).collect()) == [1, 2, 3]
 
 
+def test_no_short_near_duplicate_is_lost(spark):
+    rng, texts = random.Random(9), []
+    for g in range(150):
+        w = [f"{g}y{rng.randrange(10**6)}" for _ in range(8 + g % 90)]
+        texts += [" ".join(w), " ".join([*w, *(f"z{g}{k}" for k in range((len(w) - 4) // 4))]), " ".join([*w, *(f"q{g}{k}" for k in range((len(w) - 4) // 4 + 1))])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.near_dedup(table).collect()}
+    # the second text of three is at 0.8 exactly or just above, the third below it with both
+    assert kept == {i for i in range(len(texts)) if i % 3 != 1}
+
+
+def test_bits_of_longer_texts_differ_at_the_stated_rate():
+    def chance(n):
+        return np.exp([math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2) for k in range(n + 1)])
+
+    for n in (simhash.SHORT + 1, simhash.SHORT + 2, 70, 80, 99, 128, 200):
+        for m in range(n, math.floor(n / 0.8) + 1):
+            c = math.ceil(0.8 * (n + m) / 1.8 - 1e-9)
+            if c > n:
+                continue
+            one = [np.array([chance(k - c)[[2 * (t + o) > k for o in range(k - c + 1)]].sum() for t in range(c + 1)]) for k in (n, m)]
+            assert (chance(c) * (one[0] * (1 - one[1]) + one[1] * (1 - one[0]))).sum() <= math.acos(1.6 / 1.8) / math.pi + simhash.TIES
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     chain = toxicity.fit(docs, labels.filter("doc_id % 3 <> 0"))

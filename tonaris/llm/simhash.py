@@ -29,6 +29,10 @@ BLOCK = 2048
 BANDS = 2
 #: 64-bit words of the fingerprints that decide on near-duplicate candidates.
 LONG = 64
+#: Near-duplicates of texts with at most this many distinct shingles are found by shared shingles instead.
+SHORT = 64
+#: For longer texts, by how much the rate of differing bits is at most above ``radius_for``'s, as an even number of shingles has ties.
+TIES = 0.003
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -302,30 +306,73 @@ def _verified(unsure: DataFrame, texts: DataFrame, width: int, similarity: float
     return map_arrow(both.select("a", "b", "_x", "_y"), _jaccard(width, similarity), "a long, b long")
 
 
+def _alike_sets(least: float):
+    """A spanning forest of the pairs of sets (id, set) in two blocks whose Jaccard similarity is ``least`` or more."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        a_of, b_of = [], []
+        for r in range(b.num_rows):
+            same, (x, y) = b.column(2)[r].as_py(), [b.column(c)[r].values for c in (0, 1)]
+            ids = [s.field("id").to_numpy(zero_copy_only=False) for s in (x, y)]
+            sizes = [s.field("set").value_lengths().to_numpy(zero_copy_only=False) for s in (x, y)]
+            flat = [s.field("set").flatten().to_numpy(zero_copy_only=False) for s in (x, y)]
+            order = np.argsort(flat[1], kind="stable")
+            postings, owner = flat[1][order], np.repeat(np.arange(len(ids[1])), sizes[1])[order]
+            every, shift = (ids[0], 0) if same else (np.concatenate(ids), len(ids[0]))
+            forest = Forest(len(every))
+            ends = np.cumsum(sizes[0])
+            for i, (lo, hi) in enumerate(zip((ends - sizes[0]).tolist(), ends.tolist(), strict=True)):
+                first, last = (np.searchsorted(postings, flat[0][lo:hi], side) for side in ("left", "right"))
+                met = np.concatenate([owner[f:t] for f, t in zip(first.tolist(), last.tolist(), strict=True)])
+                common = np.bincount(met, minlength=len(ids[1]))
+                j = np.flatnonzero((common > 0) & (common >= least * (sizes[0][i] + sizes[1] - common))) + shift
+                forest.union(np.full(len(j), i), j)
+            _put(forest, every, a_of, b_of)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (a_of, b_of)], ["a", "b"])
+
+    return run
+
+
+def short_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` that join all sets (id, set) with Jaccard similarity ``similarity`` or more, with no loss.
+
+    Two such sets share one of the first n - ceil(similarity * n) + 1 of the n hashes of each; sets that share one are compared.
+    """
+    n = F.size("set")
+    slots = sets.select("id", F.explode(F.slice("set", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))).alias("tile"))
+    shared = slots.groupBy("tile").count().filter("count > 1").select("tile")
+    packs = materialise(pack(slots.join(shared, "tile").join(sets, "id"), "id", ["id", "set"], BLOCK), "packs")
+    work = pairs(packs).select("a", "b", "same").repartition(max(8, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return map_arrow(work, _alike_sets(similarity), "a long, b long").distinct()
+
+
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (then smallest text).
 
     Two texts link if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more; texts with equal
-    sets are one node. Candidates are fingerprints of the sets (``words`` times 64 bits) within the radius that pairs at the
-    threshold exceed at a rate of about 0.5 %. These texts get fingerprints of ``LONG`` words, with a radius
+    sets are one node. Pairs in which one text has at most ``SHORT`` distinct shingles are found exactly, by shared shingles.
+    For other pairs, candidates are fingerprints of the sets (``words`` times 64 bits) within the radius that pairs at the
+    threshold exceed by 3.3 standard deviations (about 0.05 %). These texts get fingerprints of ``LONG`` words, with a radius
     that loses as much again. Every candidate is verified on the texts unless verified links join it already: first those
     that would join all close ones, then the others in bands of rising distance. Texts without words are a group
     of their own. Null doc_ids come last in the choice of the row that stays. All columns stay; those that start with ``_``
     are reserved. ``docs`` must give its rows in the same order when it is read again, as stored tables do.
     """
-    wide, high = (radius_for(similarity, 64 * w, 2.6) for w in (words, LONG))
-    low = radius_for(similarity, 64 * LONG, -2.6)
+    wide, high = (radius_for(similarity, 64 * w, 3.3) + math.ceil(64 * w * TIES) for w in (words, LONG))
+    low, few = radius_for(similarity, 64 * LONG, -2.6), math.floor(SHORT / similarity + 1e-9)
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     ids = rows.select("_row", F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), "text")
-    prints = materialise(set_fingerprints(ids, width, words).withColumnRenamed("key", "id"), "fingerprints")
+    prints = materialise(set_fingerprints(ids, width, words, few).withColumnRenamed("key", "id"), "fingerprints")
     first = F.struct(F.col("_doc").isNull(), F.col("_doc"), F.col("_text"), F.col("_row"))
     nodes = materialise(prints.groupBy("id", "n", "fp").agg(F.min(first).alias("first")), "nodes")
-    marked = near_pairs(nodes.filter(F.col("n") > 0).select("id", "fp"), words, wide, _partnered(words, wide), 4 * BLOCK).select(F.col("a").alias("id")).distinct()
+    sets = materialise(prints.filter(F.col("n").between(1, few)).select("id", "set").dropDuplicates(["id"]), "sets")
+    links = short_links(sets, similarity)
+    marked = near_pairs(nodes.filter(F.col("n") > SHORT).select("id", "fp"), words, wide, _partnered(words, wide), 4 * BLOCK).select(F.col("a").alias("id")).distinct()
     some = nodes.select("id", F.col("first._row").alias("_row")).join(marked, "id")
     texts = materialise(rows.select("_row", "text").join(some, "_row").select("id", "text"), "texts")
     long = materialise(set_fingerprints(texts, width, LONG).select("id", "fp"), "long")
     tree = near_pairs(long, words, wide, _long_tree(words, wide, low), 2 * BLOCK).distinct()
-    component = materialise(connected_components(_verified(tree, texts, width, similarity)), "components")
+    component = materialise(connected_components(links.union(_verified(tree, texts, width, similarity))), "components")
     steps = [-1, *(low + (high - low) * k // BANDS for k in range(1, BANDS + 1))]
     for above, radius in zip(steps, steps[1:], strict=False):
         labelled = long.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
