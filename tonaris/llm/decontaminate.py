@@ -20,7 +20,7 @@ from tonaris.llm.common import RangeHash, map_arrow, slices, texts_of
 ERRORS = 0.05
 #: Bytes of test items that one pass over the texts looks for; larger benchmarks take several passes.
 SHARD_BYTES = 8 << 20
-#: Items with fewer normalised bytes than this match only as a whole text's substring of whole words.
+#: Widths of the windows that find pieces; an item of any length matches anywhere in a text, inside words as well.
 _WIDTHS = (16, 8, 4, 2, 1)
 _FOLD = np.full(256, 32, np.uint8)
 for _lo, _hi, _to in ((48, 58, 48), (97, 123, 97), (65, 91, 97), (128, 256, 128)):
