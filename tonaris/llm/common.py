@@ -7,6 +7,7 @@ identity in the numpy code is a 64-bit polynomial hash of its bytes.
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,32 +24,62 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one if that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a local one in local mode, else an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = sc._jsc.sc().getCheckpointDir()
+        if not where.isDefined() and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = where.get() if where.isDefined() else tempfile.mkdtemp(prefix="tonaris-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files every executor can read."""
+def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at files every executor can read.
+
+    ``instead_of`` is an earlier such table that nobody reads after this one is written; its files go.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tonaris/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).deleteOnExit(p)
+    if instead_of is not None:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(instead_of._written_to)
+        old.getFileSystem(conf).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def _place(columns: list[str], name: str) -> int:
+    """Where a column is: by its exact name, else by its name in any case."""
+    same = [i for i, c in enumerate(columns) if c == name] or [i for i, c in enumerate(columns) if c.lower() == name.lower()]
+    if not same:
+        raise ValueError(f"no column {name} among {columns}")
+    return same[0]
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """These columns only; others may have the same names in another case."""
+    at = [_place(df.columns, n) for n in names]
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names, strict=True)])
+
+
+def aside(df: DataFrame, *needed: str) -> DataFrame:
+    """``df`` with its columns in place, the needed ones by these names and all others by names that clash with nothing."""
+    at = {_place(df.columns, n): n for n in needed}
+    return df.toDF(*[at.get(i, f"_own{i}") for i in range(len(df.columns))])
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with a function from one RecordBatch to one RecordBatch or None."""
 
@@ -95,6 +126,21 @@ def slices(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield lo, len(texts)
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, size: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about ``size`` bytes, cut behind white space, so that no word is cut and nothing is lost."""
+    lo = 0
+    while len(text) - lo > size:
+        gap = _GAP.search(text, lo + size)
+        if gap is None:
+            break
+        yield text[lo : gap.end()]
+        lo = gap.end()
+    yield text[lo:] if lo else text
+
+
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[9, 10, 11, 12, 13, 32]] = True
 _TO_LOWER = np.arange(256, dtype=np.uint8)
@@ -161,6 +207,21 @@ class Tokens:
         return np.repeat(np.arange(len(self.count)), self.count)
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and how many each text has; long texts are read in pieces."""
+    found, count = [], []
+    for lo, hi in slices(texts):
+        if hi - lo == 1:
+            own = [Tokens([p]).hashes() for p in pieces(texts[lo])]
+            found += own
+            count.append(np.array([sum(map(len, own))]))
+        else:
+            t = Tokens(texts[lo:hi])
+            found.append(t.hashes())
+            count.append(t.count)
+    return np.concatenate(found or [np.zeros(0, np.uint64)]), np.concatenate(count or [np.zeros(0, np.int64)])
+
+
 def segment_sum(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs, empty runs being 0."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])

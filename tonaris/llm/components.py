@@ -28,6 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if _settled(e):
             break
+        last = e
         # large star: neighbours above a node go to the node's smallest neighbour
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
@@ -35,7 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: a node and its neighbours below go to the smallest of them
         least = e.groupBy("a").agg(F.min("b").alias("_m"))
         moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        e = materialise(moved.union(least.select("a", F.col("_m").alias("b"))).filter("a <> b").distinct(), "edges")
+        e = materialise(moved.union(least.select("a", F.col("_m").alias("b"))).filter("a <> b").distinct(), "edges", last)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

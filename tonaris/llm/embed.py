@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonaris.llm.common import map_arrow, materialise
+from tonaris.llm.common import map_arrow, materialise, mix, pick
 from tonaris.llm.components import connected_components
 from tonaris.llm.tiles import Forest, pack, pairs
 
@@ -67,25 +67,28 @@ def estimate(v: np.ndarray, signs: np.ndarray, factor: np.ndarray, rot: np.ndarr
     return got, error
 
 
-def _usable(dim: int):
-    return F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
+def _usable():
+    return F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
 
 
 def _banded(dim: int, bits: int, bands: int):
-    """Map of nodes to a row for each band: tile, id, weight, vector, its sign bits and correction factor."""
+    """Map of nodes to a row for each band: tile, label, id, weight, vector, its sign bits and correction factor.
+
+    A tile is a hash of label, band and bucket; the label travels with the row and is compared again.
+    """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         v = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         signs, factor = codes(unit(v), rotations(dim, math.ceil(bits * bands / dim)))
         weights = 1 << np.arange(bits, dtype=np.int64)
-        label = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        label = mix(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) << np.uint64(8)
         tiles = []
-        for k in range(bands):
-            bucket = signs[:, k * bits : (k + 1) * bits] @ weights
-            tiles.append(label * (1 << 32) + k * (1 << 24) + bucket)
+        for k in range(bands):  # the lowest 8 bits hold the band
+            bucket = (signs[:, k * bits : (k + 1) * bits] @ weights).astype(np.uint64)
+            tiles.append((mix(label + bucket + np.uint64(1)) << np.uint64(8) | np.uint64(k)).view(np.int64))
         at = np.tile(np.arange(b.num_rows), bands)
         packed = np.packbits(signs, axis=1)
-        own = pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(factor)], ["id", "weight", "vector", "code", "factor"])
+        own = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(factor)], ["id", "label", "weight", "vector", "code", "factor"])
         rest = own.take(pa.array(at))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles)), *rest.columns], ["tile", *rest.schema.names])
 
@@ -98,10 +101,11 @@ def _compare(dim: int, bits: int, bands: int, threshold: float):
         total = dim * math.ceil(bits * bands / dim)
         ids_out, links_out, root_out = [], [], []
         for r in range(b.num_rows):
-            ids, weight, vec, sign, factor = [], [], [], [], []
+            ids, label, weight, vec, sign, factor = [], [], [], [], [], []
             for c in (0, 1):
                 rows = b.column(c)[r].values
                 ids.append(rows.field("id").to_numpy(zero_copy_only=False))
+                label.append(rows.field("label").to_numpy(zero_copy_only=False))
                 weight.append(rows.field("weight").to_numpy(zero_copy_only=False))
                 v = unit(rows.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
                 bits_of = np.frombuffer(b"".join(rows.field("code").to_pylist()), np.uint8).reshape(len(v), -1)
@@ -110,10 +114,11 @@ def _compare(dim: int, bits: int, bands: int, threshold: float):
                 factor.append(rows.field("factor").to_numpy(zero_copy_only=False))
             same, band, n = b.column(2)[r].as_py(), b.column(3)[r].as_py(), len(ids[0])
             got, error = estimate(vec[0], sign[1], factor[1], rots[0])
-            i, j = np.nonzero(got + error[None, :] >= threshold)
+            i, j = np.nonzero((got + error[None, :] >= threshold) & (label[0][:, None] == label[1][None, :]))
             if same:
                 i, j = i[i < j], j[i < j]
-            first = np.ones(len(i), bool)
+            own = slice(band * bits, (band + 1) * bits)
+            first = (sign[0][i, own] == sign[1][j, own]).all(axis=1)
             for k in range(band):  # pairs that share an earlier band belong to that
                 at = slice(k * bits, (k + 1) * bits)
                 first &= (sign[0][i, at] != sign[1][j, at]).any(axis=1)
@@ -137,34 +142,45 @@ def _compare(dim: int, bits: int, bands: int, threshold: float):
 def embedding_groups(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.9995, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of (vec_id, embedding, label).
 
-    Vectors link if their labels are equal and not null and their cosine in double precision is ``threshold`` or more; pairs
-    at the threshold are found with probability ``recall``, nearer ones with a higher one, and equal vectors surely. Vectors
-    that are null, zero, of another length than most or hold null or non-finite components link with nothing. Repeated rows are
-    vectors of their own. component_id is the smallest vec_id reachable (nulls only if there is no other); a row is kept if its
-    vec_id is that. Extra columns are left out.
+    Vectors link if their labels are equal and not null, their lengths are equal and their cosine in double precision is
+    ``threshold`` or more; pairs at the threshold are found with probability ``recall``, nearer ones with a higher one, and
+    equal vectors surely. Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
+    Repeated rows are vectors of their own. component_id is the smallest vec_id reachable (nulls only if there is no other); a
+    row is kept if its vec_id is that. Each length of vectors that occurs is searched by itself. Extra columns are left out,
+    an empty table gives an empty one.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
-    dims = rows.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = dims["d"] if dims else 1
-    rows = rows.withColumn("id", F.when(_usable(dim), F.xxhash64("label", "embedding")))
-    usable = rows.filter("id IS NOT NULL")
-    nodes = usable.groupBy("id").agg(F.first("label").alias("label"), F.count("*").alias("weight"), F.first("embedding").alias("vector"), F.min("vec_id").alias("low"))
-    nodes = materialise(nodes.select("id", "label", "weight", "vector", "low"), "vectors")
-    biggest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, bands = plan_bands(biggest, threshold, recall, block)
-    banded = map_arrow(nodes.select("id", "label", "weight", "vector"), _banded(dim, bits, bands), f"tile long, id long, weight long, vector {nodes.schema['vector'].dataType.simpleString()}, code binary, factor double")
-    packs = materialise(pack(banded, "id", ["id", "weight", "vector", "code", "factor"], block), "packs")
-    band = F.shiftright("tile", 24).bitwiseAND(F.lit(255).cast("long")).cast("int")
-    work = pairs(packs).select("a", "b", "same", band.alias("band"))
-    work = work.repartition(max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    found = materialise(map_arrow(work, _compare(dim, bits, bands, threshold), "id long, links long, root long"), "links")
+    own = pick(vectors, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
+    rows = own.withColumn("dim", F.when(_usable(), F.size("embedding")))
+    usable = rows.filter("dim IS NOT NULL")
+    nodes = usable.groupBy("label", "embedding", "dim").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("id"), "label", "weight", F.col("embedding").alias("vector"), "low", "dim")
+    nodes = materialise(nodes, "vectors")
+    found = None
+    for dim, biggest in sorted(map(tuple, nodes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count")).toLocalIterator())):
+        part = _links(nodes.filter(F.col("dim") == dim), dim, biggest, threshold, recall, block)
+        found = part if found is None else found.union(part)
+    if found is None:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    found = materialise(found, "links")
     component = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     lows = component.join(nodes.select(F.col("id").alias("node"), "low"), "node")
     low = lows.groupBy("component").agg(F.min("low").alias("_low"))
     linked = lows.select("node", "component").join(low, "component").select(F.col("node").alias("id"), "_low")
-    all_nodes = nodes.select("id", "weight", "low").join(links, "id", "left").join(linked, "id", "left")
-    all_nodes = all_nodes.select("id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("_low", "low").alias("component_id"))
-    out = rows.select("vec_id", "id").join(all_nodes, "id", "left")
-    component_id = F.when(F.col("id").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    all_nodes = nodes.join(links, "id", "left").join(linked, "id", "left")
+    all_nodes = all_nodes.select(F.col("label").alias("_label"), F.col("vector").alias("_vector"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("_low", "low").alias("component_id"))
+    # vectors with null or non-finite components have no dim and so no node; the others meet theirs by value
+    out = rows.withColumn("_key", F.when(F.col("dim").isNotNull(), F.col("embedding")))
+    out = out.join(all_nodes, (F.col("_key") == F.col("_vector")) & (F.col("label") == F.col("_label")), "left")
+    component_id = F.when(F.col("dim").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(False)).alias("kept"))
+
+
+def _links(nodes: DataFrame, dim: int, biggest: int, threshold: float, recall: float, block: int) -> DataFrame:
+    """``id, links, root`` among nodes of one length, ``biggest`` of them at most with one label."""
+    bits, bands = plan_bands(biggest, threshold, recall, block)
+    banded = map_arrow(nodes.select("id", "label", "weight", "vector"), _banded(dim, bits, bands), f"tile long, id long, label long, weight long, vector {nodes.schema['vector'].dataType.simpleString()}, code binary, factor double")
+    packs = materialise(pack(banded, "id", ["id", "label", "weight", "vector", "code", "factor"], block), "packs")
+    work = pairs(packs).select("a", "b", "same", F.pmod("tile", F.lit(256)).cast("int").alias("band"))
+    work = work.repartition(max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return map_arrow(work, _compare(dim, bits, bands, threshold), "id long, links long, root long")

@@ -10,13 +10,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonaris.llm.common import materialise
 
-def pack(rows: DataFrame, order: str, columns: list[str], size: int) -> DataFrame:
-    """``tile, block, rows`` from rows with a long ``tile``; ``order`` is a column whose hash picks the block."""
+
+#: Large tiles up to this many (12 bytes each) are broadcast; above, rows and tiles meet by tile and salt.
+BROADCAST_TILES = 500_000
+SALTS = 64
+
+
+def pack(rows: DataFrame, order: str, columns: list[str], size: int, also: list[str] | None = None) -> DataFrame:
+    """``tile, block, rows`` from rows with a long ``tile``; ``order`` is a column whose hash picks the block; ``also``: columns that a tile's rows share.
+
+    Rows are dealt out by tile and block, never by tile alone, so no task gets a whole large tile.
+    """
     large = rows.groupBy("tile").count().filter(F.col("count") > size).select("tile", F.ceil(F.col("count") / size).alias("_n"))
+    large = materialise(large, "large-tiles")
+    if large.count() <= BROADCAST_TILES:
+        cut = rows.join(F.broadcast(large), "tile", "left")
+    else:
+        large = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        cut = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(3), order), F.lit(SALTS)).cast("int")).join(large, ["tile", "_salt"], "left")
     block = F.pmod(F.xxhash64(order), F.coalesce("_n", F.lit(1)).cast("long")).cast("int")
-    cut = rows.join(large, "tile", "left").withColumn("block", block)
-    return cut.groupBy("tile", "block").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return cut.withColumn("block", block).repartition("tile", "block").groupBy("tile", "block", *(also or [])).agg(F.collect_list(F.struct(*columns)).alias("rows"))
 
 
 def pairs(packs: DataFrame, tiles: DataFrame | None = None) -> DataFrame:
