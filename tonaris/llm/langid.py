@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonaris.llm.common import map_arrow, unit_hash
+from tonaris.llm.common import map_arrow, pick, unit_hash
 
 #: N-grams in a profile and in a document's ranking.
 PROFILE = 300
 #: Training texts of each language, about; chosen by a hash of doc_id.
 MAX_TRAIN = 3000
+#: Distinct languages; their profiles are compared with every text.
+MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 _BITS = 21
 
@@ -83,9 +85,14 @@ def fit(labelled: DataFrame, size: int = PROFILE, max_train: int = MAX_TRAIN) ->
 
     About ``max_train`` rows of each language are used, chosen by a hash of doc_id (all if there are fewer).
     """
-    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    rates = known.groupBy("lang").agg(F.least(F.lit(1.0), max_train / F.count("*")).alias("_rate"))
-    sample = known.join(rates, "lang").filter(unit_hash("doc_id", seed=4) < F.col("_rate")).select("lang", "text")
+    known = pick(labelled, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    sizes = dict(map(tuple, known.groupBy("lang").count().toLocalIterator()))
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"{len(sizes)} languages; at most {MAX_LANGUAGES} can be told apart")
+    # rates stand in the filter, so that texts are drawn where they are read; a language under the limit is taken whole
+    cut = [x for name, n in sizes.items() if n > max_train for x in (F.lit(name), F.lit(max_train / n))]
+    rate = F.coalesce(F.element_at(F.create_map(*cut), F.col("lang")), F.lit(1.0)) if cut else F.lit(1.0)
+    sample = known.filter(unit_hash("doc_id", seed=4) < rate).select("lang", "text")
 
     def count(batches):
         total: dict[str, dict[int, int]] = {}
@@ -109,6 +116,7 @@ def fit(labelled: DataFrame, size: int = PROFILE, max_train: int = MAX_TRAIN) ->
 def identify(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred and score for every whole text; null texts and texts without a letter are ``und``, 0."""
     keep = keep or ["doc_id"]
+    docs = pick(docs, *keep, "text")
     fields = docs.select(*keep).schema
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
