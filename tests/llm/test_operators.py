@@ -206,6 +206,35 @@ def test_language_on_held_out_documents(spark, odd):
     assert langid.identify(odd, langid.fit(odd.limit(0))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_distances_against_plain_ones(spark):
+    rng = random.Random(7)
+    texts = {lang: [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(60)) for _ in range(4)] for lang, letters in {"aa": "abcdeé", "bb": "defghi", "cc": "hijkß中"}.items()}
+
+    def grams(text):
+        out = Counter()
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f" {word} "
+            out.update(word)
+            out.update(padded[i : i + 2] for i in range(len(padded) - 1))
+            out.update(padded[i : i + 3] for i in range(len(padded) - 2))
+        return out
+
+    def ranks(counts):
+        code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+        return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[:40])}
+
+    profiles = {lang: ranks(sum((grams(t) for t in ts), Counter())) for lang, ts in texts.items()}
+    table = spark.createDataFrame([(i, t, lang, "L") for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)], "doc_id long, text string, lang string, LANG_ string")
+    fitted = langid.fit(table, size=40)
+    new = ["abc fgh", "x", "defg hij 12 _ é", *texts["bb"]]
+    for text in new:
+        mine = ranks(grams(text))
+        far = {lang: sum(abs(p[g] - r) if g in p else 40 for g, r in mine.items()) for lang, p in profiles.items()}
+        order = sorted(far.items(), key=lambda x: (x[1], x[0]))
+        got = fitted.predict(text)
+        assert got[0] == order[0][0] and got[1] == pytest.approx((order[1][1] - order[0][1]) / order[1][1])
+
+
 def brute_fingerprint(text, width=3):
     w = words(text)
     parts = [" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
@@ -273,6 +302,49 @@ def test_repeats_neither_link_nor_part(spark):
     assert sorted(r["doc_id"] for r in simhash.near_dedup(table).collect()) == [1, 2, 3]
 
 
+def test_repeated_lines_do_not_count_and_long_words_neither(spark):
+    rng, texts = random.Random(21), []
+    for g in range(30):  # sets at 0.98, one line repeated more or less often
+        w = [f"{g}k{rng.randrange(10**6)}" for _ in range(400)]
+        line = " " + " ".join(f"{g}line{k}" for k in range(6))
+        texts += [" ".join(w) + line * 2, " ".join([*w[:-4], *(f"{g}end{k}" for k in range(4))]) + line * (10 + 3 * g)]
+    shared = " ".join(f"common{k}" for k in range(8))
+    texts += [" ".join(f"{g}u{rng.randrange(10**6)}" for _ in range(80)) + f" {shared}" * 60 for g in range(8)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(table).collect()) == [*range(0, 60, 2), *range(60, 68)]
+
+
+def test_a_large_group_of_copies_costs_no_square(spark, monkeypatch):
+    rng = random.Random(22)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    base = [f"h{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(200):
+        v = list(base)
+        v[i % 120] = f"n{i}"
+        texts.append(" ".join(v))
+    far = list(base)
+    for at in (10, 50, 90):  # three edits: 15 shingles of 116 on each side
+        far[at] = "far"
+    texts += [" ".join(far), " ".join(f"o{rng.randrange(10**6)}" for _ in range(120))]
+    table = spark.createDataFrame(list(enumerate(texts)), "DOC_ID long, text string")
+    s = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    want = union_find([(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])], range(len(s)))
+    assert sorted(r["DOC_ID"] for r in simhash.near_dedup(table).collect()) == sorted(i for i, c in want.items() if i == c)
+
+
+def test_long_texts_in_pieces_are_whole(monkeypatch):
+    from tonaris.llm import common
+
+    text = (LONG[:9000] + "\n" + " " * 300 + "x y" + "z" * 500 + " tail ").encode()
+    texts = [text, b"one", b" " * 900 + b"two words" + b" " * 400, b"", b"a b c d e f g"]
+    whole = ([simhash.fingerprint(t, 3, 2) for t in texts], [s.tolist() for s in simhash.shingle_sets(texts, 5)])
+    monkeypatch.setattr(common.pieces, "__defaults__", (64,))
+    monkeypatch.setattr(common.slices, "__defaults__", (100,))
+    assert len(list(common.pieces(text))) > 50 and b"".join(common.pieces(text)) == text
+    assert whole == ([simhash.fingerprint(t, 3, 2) for t in texts], [s.tolist() for s in simhash.shingle_sets(texts, 5)])
+
+
 def test_no_short_near_duplicate_is_lost(spark):
     rng, texts = random.Random(9), []
     for g in range(150):
@@ -377,6 +449,20 @@ def test_embeddings_against_brute_force(spark):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in out.items())
 
 
+def test_embeddings_link_only_equal_labels_and_lengths(spark):
+    rng = np.random.default_rng(12)
+    far = 4294967297
+    a, b = rng.normal(size=8), rng.normal(size=5)
+    rows = [(i, [float(x) for x in v], lab) for i, (v, lab) in enumerate([(a, 1), (a, far), (a, -1), (a, -far), (a, 1 - 2**32), (a * 1.001, far), (a, 0), (b, 1), (b * 2, 1), (b, 2**62), (b, -(2**62))])]
+    rows += [(20, [], 1), (None, [float(x) for x in a], 1)]
+    kind = "vec_id long, embedding array<float>, label long, Vec_Id string, n_links string"
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], kind)
+    out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed.embedding_groups(table).collect()}
+    assert out == {0: (1, 0, True), None: (1, 0, False), 1: (1, 1, True), 5: (1, 1, False), 7: (1, 7, True), 8: (1, 7, False)} | {i: (0, i, True) for i in (2, 3, 4, 6, 9, 10, 20)}
+    assert embed.embedding_groups(table.limit(0)).count() == 0
+    assert embed.embedding_groups(spark.createDataFrame([(20, [], 1)], "vec_id long, embedding array<float>, label long")).first()["kept"]
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(6)
     v = embed.unit(rng.normal(size=(400, 64)))
