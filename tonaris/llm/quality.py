@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonaris.llm.common import RangeHash, Tokens, map_arrow, slices, texts_of, unit_hash
+from tonaris.llm.common import CHUNK_BYTES, RangeHash, Tokens, aside, map_arrow, pick, pieces, slices, texts_of, unit_hash
 
 PASSAGE = 64
 #: Labelled documents used to fit, about; chosen by a hash of doc_id.
@@ -35,25 +35,45 @@ FEATURES = _N_CLASSES + 8 + _HASHED
 
 
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of all passages and the number of passages of each text; a text without words has one row of zeros."""
+    """Feature rows of all passages and the number of passages of each text; a text without words has one row of zeros but for the constant.
+
+    A long text is read in pieces of whole passages.
+    """
+    if len(texts) == 1 and len(texts[0]) > CHUNK_BYTES:
+        rows, rest, some = [], b"", False
+        for piece in pieces(texts[0]):
+            rest += piece
+            t = Tokens([rest], lower=False)
+            whole = (len(t.starts) - 1) // PASSAGE * PASSAGE
+            if whole > 0:
+                cut = int(t.starts[whole])
+                rows.append(_passages([rest[:cut]])[0])
+                rest, some = rest[cut:], True
+        if rest.strip() or not some:
+            rows.append(_passages([rest])[0])
+        return np.concatenate(rows), np.array([sum(map(len, rows))])
+    return _passages(texts)
+
+
+def _passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     t = Tokens(texts, lower=False)
     n_pass = np.maximum(1, -(-t.count // PASSAGE))
     base = np.concatenate([[0], np.cumsum(n_pass)])
     out = np.zeros((base[-1], FEATURES), np.float32)
+    out[:, _N_CLASSES + 7] = 1
     if not len(t.starts):
         return out, n_pass
     within = np.arange(len(t.starts)) - np.repeat(t.first, t.count)
     owner = np.repeat(base[:-1], t.count) + within // PASSAGE
     words = np.bincount(owner, minlength=base[-1]).astype(np.float64)
     some = np.maximum(words, 1)
-    # bytes belong to the passage of the last word that began before them, those ahead of the first word to none
-    steps = np.zeros(len(t.data) + 1, np.int64)
+    # bytes belong to the passage of the last word that began before them in their text, those ahead of its first word to none
     first = np.concatenate([[True], owner[1:] != owner[:-1]])
-    at = owner[first]
-    steps[t.starts[first]] = np.diff(np.concatenate([[0], at]))
-    of_byte = np.cumsum(steps[:-1])
-    begun = slice(t.starts[0], None)
-    classes = np.bincount(of_byte[begun] * _N_CLASSES + _CLASS_OF[t.data[begun]], minlength=base[-1] * _N_CLASSES).reshape(-1, _N_CLASSES)
+    edges = np.concatenate([t.text_starts[:-1], t.text_starts[1:] - 1, t.starts[first]])
+    values = np.concatenate([np.full(2 * len(texts), base[-1]), owner[first]])
+    order = np.argsort(edges, kind="stable")
+    of_byte = np.repeat(values[order], np.diff(np.concatenate([edges[order], [len(t.data)]])))
+    classes = np.bincount(of_byte * _N_CLASSES + _CLASS_OF[t.data], minlength=(base[-1] + 1) * _N_CLASSES).reshape(-1, _N_CLASSES)[:-1]
     length = np.maximum(classes.sum(axis=1, keepdims=True), 1)
     out[:, :_N_CLASSES] = np.sqrt(classes / length)
     h = RangeHash(t.data).of(t.starts, t.ends)
@@ -74,7 +94,6 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[:, k + 4] = np.log1p(words) / 4
     out[:, k + 5] = np.bincount(owner, sizes == 1, base[-1]) / some
     out[:, k + 6] = np.bincount(owner, sizes > 15, base[-1]) / some
-    out[:, k + 7] = 1
     signed = np.where(h & np.uint64(1 << 40), 1.0, -1.0)
     hashed = np.bincount(owner * _HASHED + ((h >> np.uint64(20)) % np.uint64(_HASHED)).astype(np.int64), signed, base[-1] * _HASHED)
     out[:, k + 8 :] = hashed.reshape(-1, _HASHED) / np.sqrt(some)[:, None] / 2
@@ -148,10 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Atten
     wins (ties: 1). About ``max_train`` labelled documents are used, chosen by a hash of doc_id, so the driver
     holds a bounded sample. Without any label, or with one class only, the model scores about that class's share.
     """
-    y = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("_y"))
+    y = pick(labels, "doc_id", "quality").filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("_y"))
     rate = min(1.0, max_train / max(1, y.count()))
     chosen = F.broadcast(y.filter(unit_hash("doc_id", seed=1) < rate))
-    rows = docs.filter(unit_hash("doc_id", seed=1) < rate).select("doc_id", "text").join(chosen, "doc_id").select("text", "_y")
+    rows = pick(docs, "doc_id", "text").filter(unit_hash("doc_id", seed=1) < rate).join(chosen, "doc_id").select("text", "_y")
 
     def encode(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, xs, ns = texts_of(b.column(0)), [], []
@@ -174,18 +193,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Atten
 
 
 def score(docs: DataFrame, model: AttentionMIL) -> DataFrame:
-    """All columns of ``docs`` and ``score`` (0 to 1, higher: label 1 likelier; replaces a column of that name).
+    """All columns of ``docs`` and ``score`` (0 to 1, higher: label 1 likelier; replaces a column of that name in any case).
 
     Whole texts are scored; null and empty texts are bags of one blank passage. Nothing but the text is used.
     """
-    own = docs.drop("score")
-    fields = own.schema
-    names = own.columns
+    own = [c for c in docs.columns if c.lower() != "score"]
+    inner = aside(docs, "text")
+    inner = inner.select([i for i, c in zip(inner.columns, docs.columns, strict=True) if c.lower() != "score"])
+    names = inner.columns
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(b.column(names.index("text")))
         parts = [model.score(*passages(texts[lo:hi])) for lo, hi in slices(texts)]
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts))], [*names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return map_arrow(own, run, f"{schema}, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)
+    return map_arrow(inner, run, f"{schema}, score double").toDF(*own, "score")
+
+
+def accept(docs: DataFrame, model: AttentionMIL, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that score ``least`` or more; all columns stay, whatever their names."""
+    inner = aside(docs, "text")
+    return score(inner, model).filter(F.col("score") >= least).select(inner.columns).toDF(*docs.columns)
