@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other by linear models on word presence. Each later model also gets the
-earlier categories' probabilities; while training, those are out-of-fold predictions, so a later model learns
-from probabilities as unsure as it will see. The last category is the toxicity label itself.
+earlier categories' probabilities; while training, those are out-of-fold predictions, by models whose words were chosen
+without the fold as well, so a later model learns from probabilities as unsure as it will see. Categories are columns of
+the label table. The table at hand has one of toxicity and one of quality: low quality is the chain's first link.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonaris.llm.common import RangeHash, map_arrow, slices, texts_of, unit_hash
+from tonaris.llm.common import CHUNK_BYTES, RangeHash, map_arrow, pick, pieces, slices, texts_of, unit_hash
 
 #: Labelled documents used to fit, about; chosen by a hash of doc_id.
 MAX_TRAIN = 12000
@@ -21,7 +22,8 @@ VOCABULARY = 4096
 #: Root of a word's likelihood ratio, about its distance from chance in standard errors.
 LEAST_TELL = 3.5
 FOLDS = 3
-CATEGORIES = ("dense", "repeated", "toxic")
+#: Label columns in the order of the chain, and the value that counts as the category.
+CATEGORIES = (("quality", 0), ("toxic", 1))
 _LETTER = np.zeros(256, bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _LETTER[_lo:_hi] = True
@@ -40,13 +42,16 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return RangeHash(_LOWER[raw]).of(starts, ends), np.searchsorted(at, starts, "right") - 1
 
 
-def counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, word) pairs: text index, word hash, occurrences."""
+def counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, word) pairs, sorted: text index, word hash. A long text is read in pieces."""
+    if len(texts) == 1 and len(texts[0]) > CHUNK_BYTES:
+        h = np.unique(np.concatenate([np.unique(words([p])[0]) for p in pieces(texts[0])]))
+        return np.zeros(len(h), np.int64), h
     h, owner = words(texts)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.empty(0, np.int64)
-    return owner[first], h[first], np.diff(np.concatenate([first, [len(h)]]))
+    first = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
+    return owner[first], h[first]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -77,122 +82,137 @@ class Linear:
         return self
 
 
+def telling(row: np.ndarray, col: np.ndarray, y: np.ndarray, size: int, most: int) -> np.ndarray:
+    """The words (numbers below ``size``) that tell most about labels ``y``, sorted: at most ``most``, each with a likelihood ratio of ``LEAST_TELL``."""
+    seen, with_ = np.bincount(col, minlength=size), np.bincount(col, y[row], size)
+    share = min(max(y.mean(), 1e-9), 1 - 1e-9)
+    other, some = seen - with_, np.maximum(seen, 1)
+    # root of the likelihood ratio of the word's own share of the category against the sample's
+    ratio = with_ * np.log(np.maximum(with_, 1e-9) / (some * share)) + other * np.log(np.maximum(other, 1e-9) / (some * (1 - share)))
+    tells = np.sqrt(np.maximum(0, 2 * ratio))
+    best = np.argsort(-tells, kind="stable")[:most]
+    return np.sort(best[tells[best] >= LEAST_TELL])
+
+
+class Link:
+    """One category's model: its words and a linear model on them and on the earlier categories' probabilities."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, seen: np.ndarray, y: np.ndarray, size: int, most: int):
+        self.words = telling(row, col, y, size, most)
+        self.model = Linear(len(self.words), seen.shape[1]).fit(*self.known(row, col), seen, y)
+
+    def known(self, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.words, col)
+        at[at == len(self.words)] = 0
+        hit = self.words[at] == col if len(self.words) else np.zeros(len(col), bool)
+        return row[hit], at[hit]
+
+    def predict(self, row: np.ndarray, col: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.model.margin(*self.known(row, col), seen))
+
+
 class Chain:
-    """A chain over ``categories``; each model sees the word features and all earlier categories' probabilities."""
+    """A chain over ``categories``; each link sees words and all earlier categories' probabilities."""
 
-    def __init__(self, vocabulary: np.ndarray, categories: tuple[str, ...] = CATEGORIES):
-        self.vocabulary, self.categories, self.models = np.sort(vocabulary), categories, []
+    def __init__(self, categories: list[str]):
+        self.categories, self.links = categories, []
 
-    def columns(self, owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.vocabulary):
-            return owner[:0], np.empty(0, np.int64)
-        at = np.searchsorted(self.vocabulary, h)
-        at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == h
-        return owner[known], at[known]
+    def fit(self, row: np.ndarray, col: np.ndarray, labels: np.ndarray, size: int, vocabulary: int = VOCABULARY, folds: int = FOLDS) -> Chain:
+        """row, col: distinct (document, word) pairs, words as numbers below ``size``; labels: (documents, categories), NaN where unknown.
 
-    def fit(self, row: np.ndarray, col: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> Chain:
-        """labels: (documents, categories). Earlier categories enter as out-of-fold probabilities."""
+        Earlier categories enter as out-of-fold probabilities, documents without the label as predicted by the model of all others.
+        """
         n = len(labels)
         fold, seen = np.arange(n) % folds, np.zeros((n, 0))
         for k in range(labels.shape[1]):
-            self.models.append(Linear(len(self.vocabulary), k).fit(row, col, seen, labels[:, k]))
-            if k + 1 == labels.shape[1]:
-                break
-            out = np.zeros(n)
-            for f in range(folds):
-                train, held = fold[row] != f, fold[row] == f
-                number = np.cumsum(fold != f) - 1
-                part = Linear(len(self.vocabulary), k).fit(number[row[train]], col[train], seen[fold != f], labels[fold != f, k])
-                number = np.cumsum(fold == f) - 1
-                out[fold == f] = _sigmoid(part.margin(number[row[held]], col[held], seen[fold == f]))
-            seen = np.column_stack([seen, out])
+            known = ~np.isnan(labels[:, k])
+
+            def part(on: np.ndarray, of: np.ndarray = row, k: int = k, seen: np.ndarray = seen) -> Link:
+                number = np.cumsum(on) - 1
+                return Link(number[of[on[of]]], col[on[of]], seen[on], labels[on, k], size, vocabulary)
+
+            whole = part(known)
+            self.links.append(whole)
+            if k + 1 < labels.shape[1]:
+                out = whole.predict(row, col, seen)
+                for f in range(folds):
+                    held = known & (fold == f)
+                    if held.any() and (known & (fold != f)).any():
+                        out[held] = part(known & (fold != f)).predict(row, col, seen)[held]
+                seen = np.column_stack([seen, out])
         return self
 
     def predict(self, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
         seen = np.zeros((n, 0))
-        for model in self.models:
-            seen = np.column_stack([seen, _sigmoid(model.margin(row, col, seen))])
+        for link in self.links:
+            seen = np.column_stack([seen, link.predict(row, col, seen)])
         return seen
 
 
-def _derived(row: np.ndarray, tell: np.ndarray, total: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Categories of a sample that is labelled toxic or not: ``dense`` and ``repeated`` by how much telling words a toxic text holds, then ``toxic``."""
-    n = len(toxic)
-    hits = np.bincount(row, tell, n)
-    share = hits / np.maximum(1, total)
-    on = toxic == 1
-    middle = np.median(share[on]) if on.any() else 0.0
-    return np.column_stack([on & (share >= middle) & (hits > 0), on & (hits >= 2), on]).astype(np.float64)
+class Scorer:
+    """A chain with the hashes of the words that its links use."""
+
+    def __init__(self, chain: Chain, names: np.ndarray):
+        used = np.unique(np.concatenate([x.words for x in chain.links])) if len(names) else np.zeros(0, np.int64)
+        for link in chain.links:
+            link.words = np.searchsorted(used, link.words)
+        self.chain, self.names = chain, names[used]
 
+    def predict(self, texts: list[bytes]) -> np.ndarray:
+        """Probabilities (texts, categories)."""
+        owner, h = counts(texts)
+        at = np.searchsorted(self.names, h)
+        at[at == len(self.names)] = 0
+        known = self.names[at] == h if len(self.names) else np.zeros(len(h), bool)
+        return self.chain.predict(owner[known], at[known], len(texts))
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, vocabulary: int = VOCABULARY) -> Chain:
-    """Fit on documents with a toxicity label: (doc_id, toxic).
 
-    Null labels are left out; of several labels of a document the larger mean side wins (ties: toxic). About ``max_train`` labelled
-    documents are used, chosen by a hash of doc_id. The label table has one category, so two finer ones are derived within the
-    sample: among toxic texts, those dense in telling words and those that repeat them.
+def fit(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, int], ...] = CATEGORIES, max_train: int = MAX_TRAIN, vocabulary: int = VOCABULARY) -> Scorer:
+    """Fit on documents with a label of the last category: (doc_id, the categories' columns).
+
+    A category's label is 1 where its column has the given value. Null labels are unknown; of several labels of a document the
+    larger mean side wins (ties: 1). About ``max_train`` labelled documents are used, chosen by a hash of doc_id.
     """
-    y = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("double").alias("_y"))
+    own = pick(labels, "doc_id", *[c for c, _ in categories]).filter(F.col("doc_id").isNotNull())
+    sides = [(F.avg((F.col(c) == v).cast("double")) >= 0.5).cast("double").alias(f"_y{i}") for i, (c, v) in enumerate(categories)]
+    y = own.groupBy("doc_id").agg(*sides).filter(F.col(f"_y{len(categories) - 1}").isNotNull())
     rate = min(1.0, max_train / max(1, y.count()))
     chosen = F.broadcast(y.filter(unit_hash("doc_id", seed=6) < rate))
-    rows = docs.filter(unit_hash("doc_id", seed=6) < rate).select("doc_id", "text").join(chosen, "doc_id").select("text", "_y")
+    rows = pick(docs, "doc_id", "text").filter(unit_hash("doc_id", seed=6) < rate).join(chosen, "doc_id")
+    given = [f"_y{i}" for i in range(len(categories))]
 
     def encode(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, out = texts_of(b.column(0)), []
         for lo, hi in slices(texts):
-            owner, h, n = counts(texts[lo:hi])
+            owner, h = counts(texts[lo:hi])
             ends = np.searchsorted(owner, np.arange(hi - lo + 1))
-            out += [(h[s:e].tobytes(), n[s:e].astype(np.int32).tobytes()) for s, e in zip(ends, ends[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary()), b.column(1)], ["h", "n", "y"])
+            out += [h[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *b.columns[1:]], ["h", *given])
 
-    got = map_arrow(rows, encode, "h binary, n binary, y double").toArrow()
-    bags = sorted(zip(got["h"].to_pylist(), got["n"].to_pylist(), got["y"].to_pylist(), strict=True))
+    got = map_arrow(rows.select("text", *given), encode, f"h binary, {', '.join(f'{g} double' for g in given)}").toArrow()
+    bags = sorted(zip(got["h"].to_pylist(), *(map(lambda v: -1.0 if v is None else v, got[g].to_pylist()) for g in given), strict=True))
+    chain = Chain([c for c, _ in categories])
     if not bags:
-        return Chain(np.empty(0, np.uint64)).fit(np.empty(0, np.int64), np.empty(0, np.int64), np.zeros((1, 3)))
-    row = np.repeat(np.arange(len(bags)), [len(h) // 8 for h, _, _ in bags])
-    h = np.frombuffer(b"".join(x for x, _, _ in bags), np.uint64)
-    n = np.frombuffer(b"".join(x for _, x, _ in bags), np.int32)
-    toxic = np.array([x for _, _, x in bags])
-    names, col = np.unique(h, return_inverse=True)
-    seen = np.bincount(col, minlength=len(names))
-    with_ = np.bincount(col, toxic[row], len(names))
-    n_toxic, n_all = toxic.sum(), len(toxic)
-    p, q = (with_ + 0.5) / (n_toxic + 1), (seen - with_ + 0.5) / (n_all - n_toxic + 1)
-    # root of the likelihood ratio of the word's own share of toxic texts against the sample's
-    share = min(max(n_toxic / n_all, 1e-9), 1 - 1e-9)
-    other = seen - with_
-    ratio = with_ * np.log(np.maximum(with_, 1e-9) / (seen * share)) + other * np.log(np.maximum(other, 1e-9) / (seen * (1 - share)))
-    tells = np.sqrt(np.maximum(0, 2 * ratio))
-    tells[tells < LEAST_TELL] = 0
-    best = np.argsort(-tells, kind="stable")[:vocabulary]
-    best = np.sort(best[tells[best] > 0])
-    chain = Chain(names[best])
-    place = np.full(len(names), -1)
-    place[best] = np.arange(len(best))
-    # telling: seen in toxic texts at least 20 times as often as in others, and in 1 of 200 of them
-    telling = (p > 20 * q) & (with_ >= max(3, n_toxic / 200))
-    total = np.bincount(row, n, n_all)
-    labels_ = _derived(row, n * telling[col], total, toxic)
-    used = place[col] >= 0
-    return chain.fit(row[used], place[col][used], labels_)
-
-
-def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:
+        empty = np.empty(0, np.int64)
+        return Scorer(chain.fit(empty, empty, np.zeros((1, len(categories))), 0), np.empty(0, np.uint64))
+    row = np.repeat(np.arange(len(bags)), [len(b[0]) // 8 for b in bags])
+    names, col = np.unique(np.frombuffer(b"".join(b[0] for b in bags), np.uint64), return_inverse=True)
+    marks = np.array([b[1:] for b in bags])
+    return Scorer(chain.fit(row, col, np.where(marks < 0, np.nan, marks), len(names), vocabulary), names)
+
+
+def score(docs: DataFrame, scorer: Scorer, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs``, a probability p_<category> for each category, and ``toxic`` (the last one at 0.5 or more), for whole texts.
 
     Null and empty texts have no words and so the models' values without features; a score never depends on anything but the text.
     """
     keep = keep or ["doc_id"]
-    names = [f"p_{c}" for c in chain.categories]
+    docs, names = pick(docs, *keep, "text"), [f"p_{c}" for c in scorer.chain.categories]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts, parts = texts_of(b.column(len(keep))), []
-        for lo, hi in slices(texts):
-            owner, h, _ = counts(texts[lo:hi])
-            parts.append(chain.predict(*chain.columns(owner, h), hi - lo))
-        p = np.concatenate(parts)
+        texts = texts_of(b.column(len(keep)))
+        p = np.concatenate([scorer.predict(texts[lo:hi]) for lo, hi in slices(texts)])
         return pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *[pa.array(p[:, i]) for i in range(p.shape[1])], pa.array((p[:, -1] >= 0.5).astype(np.int32))], [*keep, *names, "toxic"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return map_arrow(docs.select(*keep, "text"), run, f"{schema}, {', '.join(f'{n} double' for n in names)}, toxic int")
+    return map_arrow(docs, run, f"{schema}, {', '.join(f'{n} double' for n in names)}, toxic int")
