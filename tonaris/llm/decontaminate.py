@@ -9,17 +9,24 @@ which Myers' bit-parallel distance decides.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from tonaris.llm.common import RangeHash, map_arrow, slices, texts_of
+from tonaris.llm.common import RangeHash, aside, map_arrow, materialise, pick, slices, texts_of
 
 #: Error budget as a share of the item's length.
 ERRORS = 0.05
 #: Bytes of test items that one pass over the texts looks for; larger benchmarks take several passes.
 SHARD_BYTES = 8 << 20
+#: Bytes of normalised text whose windows are hashed at a time.
+WINDOW = 4 << 20
 #: Widths of the windows that find pieces; an item of any length matches anywhere in a text, inside words as well.
 _WIDTHS = (16, 8, 4, 2, 1)
 _FOLD = np.full(256, 32, np.uint8)
@@ -78,7 +85,7 @@ def myers(pattern: bytes, text: bytes) -> int:
 class Matcher:
     """Pieces of a set of items, hashed by their first bytes."""
 
-    def __init__(self, items: list[tuple[int, bytes]], errors: float = ERRORS):
+    def __init__(self, items: list[tuple[object, bytes]], errors: float = ERRORS):
         self.items = []
         heads: dict[int, list[tuple[bytes, int, int]]] = {}
         for item_id, text in items:
@@ -109,21 +116,21 @@ class Matcher:
         found: list[dict[int, int]] = [{} for _ in texts]
         if not self.by_width:
             return found
-        ranges, raw = RangeHash(data), data.tobytes()
+        raw = data.tobytes()
         tried: set[tuple[int, int, int]] = set()
-        for width, (hashes, pieces, filter_) in self.by_width.items():
-            if len(data) <= width:
-                continue
-            starts = np.arange(len(data) - width + 1)
-            h = ranges.of(starts, starts + width)
-            likely = np.flatnonzero(filter_[(h >> np.uint64(44)).astype(np.int64)])
-            lo = np.searchsorted(hashes, h[likely], "left")
-            hi = np.searchsorted(hashes, h[likely], "right")
-            some = hi > lo
-            for p, a, b in zip(likely[some].tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
-                for piece, n, offset in pieces[a:b]:
-                    if raw.startswith(piece, p):
-                        self._verify(raw, at, p, n, offset, found, tried)
+        for begin in range(0, len(data), WINDOW):
+            ranges = RangeHash(data[begin : begin + WINDOW + _WIDTHS[0]])
+            for width, (hashes, pieces, filter_) in self.by_width.items():
+                starts = np.arange(max(0, min(WINDOW, len(data) - begin - width + 1)))
+                h = ranges.of(starts, starts + width)
+                likely = np.flatnonzero(filter_[(h >> np.uint64(44)).astype(np.int64)])
+                lo = np.searchsorted(hashes, h[likely], "left")
+                hi = np.searchsorted(hashes, h[likely], "right")
+                some = hi > lo
+                for p, a, b in zip((likely[some] + begin).tolist(), lo[some].tolist(), hi[some].tolist(), strict=True):
+                    for piece, n, offset in pieces[a:b]:
+                        if raw.startswith(piece, p):
+                            self._verify(raw, at, p, n, offset, found, tried)
         return found
 
     def _verify(self, raw: bytes, at: np.ndarray, p: int, n: int, offset: int, found: list[dict[int, int]], tried: set) -> None:
@@ -142,53 +149,64 @@ class Matcher:
             found[doc][item_id] = min(d, found[doc].get(item_id, d))
 
 
-def _shards(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
-    """Items by shards of bounded size, streamed to the driver."""
-    shards, size = [[]], 0
-    for row in benchmark.filter("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+def _shards(benchmark: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
+    """Items (item_id, text) in shards of bounded size, one at a time on the driver."""
+    shard, size = [], 0
+    for row in benchmark.filter("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         text = row["text"].encode()
-        if shards[-1] and size + len(text) > SHARD_BYTES:
-            shards.append([])
-            size = 0
-        shards[-1].append((row["item_id"], text))
+        if shard and size + len(text) > SHARD_BYTES:
+            yield shard
+            shard, size = [], 0
+        shard.append((row["item_id"], text))
         size += len(text)
-    return shards
+    if shard:
+        yield shard
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """All columns of ``docs``, ``items`` (item_ids found in the text, sorted), ``distance`` (the smallest edit distance, else null) and ``contaminated``.
+    """All columns of ``docs``, ``items`` (item_ids found in the text, sorted, null last), ``distance`` (the smallest edit distance, else null) and ``contaminated``.
 
-    Columns of these names are replaced. Null and empty texts and items never match; items that differ only in normalisation
-    match alike. Benchmark: (item_id, text); its items travel in the task closure in shards of at most ``SHARD_BYTES``, one pass
-    over the texts for each shard.
+    Columns of these names, in any case, are replaced. Null and empty texts and items never match; items that differ only in
+    normalisation match alike. Benchmark: (item_id, text), ids of any type. Items travel to the texts in shards of at most
+    ``SHARD_BYTES``, of which the driver holds two at most. One shard is one pass over the texts; with more, each pass
+    writes what it found to the shared folder, and ``docs`` must give its rows in the same order when it is read again.
     """
-    out = docs.drop("items", "distance", "contaminated").withColumns({"items": F.array().cast("array<long>"), "distance": F.lit(None).cast("int")})
-    for shard in _shards(benchmark):
-        out = _search(out, Matcher(shard, errors))
-    return out.withColumn("contaminated", F.size("items") > 0)
-
-
-def _search(docs: DataFrame, matcher: Matcher) -> DataFrame:
-    names = docs.columns
+    taken = {"items", "distance", "contaminated"}
+    names, inner = [c for c in docs.columns if c.lower() not in taken], aside(docs, "text")
+    inner = inner.select([i for i, c in zip(inner.columns, docs.columns, strict=True) if c.lower() not in taken])
+    known = pick(benchmark, "item_id", "text")
+    kind, shards = known.schema["item_id"].dataType, _shards(known)
+    first, second = next(shards, []), next(shards, None)
+    if second is None:
+        found = _search(inner, Matcher(first, errors), kind)
+    else:
+        rows, parts = inner.withColumn("_row", F.monotonically_increasing_id()), None
+        for shard in itertools.chain([first, second], shards):
+            hits = _search(rows.select("_row", "text"), Matcher(shard, errors), kind).filter(F.size("items") > 0).select("_row", "items", "distance")
+            hits = materialise(hits, "hits")
+            parts = hits if parts is None else parts.union(hits)
+        whole = parts.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min("distance").alias("distance"))
+        found = rows.join(whole, "_row", "left").drop("_row").withColumn("items", F.coalesce("items", F.array().cast(f"array<{kind.simpleString()}>")))
+    return found.withColumn("contaminated", F.size("items") > 0).toDF(*names, "items", "distance", "contaminated")
+
+
+def _search(docs: DataFrame, matcher: Matcher, kind: DataType) -> DataFrame:
+    """``docs`` with items and distance of one pass."""
+    names, arrow = docs.columns, to_arrow_type(kind)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, hits = texts_of(b.column(names.index("text"))), []
         for lo, hi in slices(texts):
             hits += matcher.find(texts[lo:hi])
-        before = zip(b.column(names.index("items")).to_pylist(), b.column(names.index("distance")).to_pylist(), strict=True)
-        items, best = [], []
-        for hit, (old, least) in zip(hits, before, strict=True):
-            items.append(sorted({*old, *hit}))
-            best.append(min([*hit.values(), *([least] if least is not None else [])], default=None))
-        columns = dict(zip(names, b.columns, strict=True)) | {"items": pa.array(items, pa.list_(pa.int64())), "distance": pa.array(best, pa.int32())}
-        return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+        items = [sorted(hit, key=lambda i: (i is None, i)) for hit in hits]
+        best = [min(hit.values(), default=None) for hit in hits]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(items, pa.list_(arrow)), pa.array(best, pa.int32())], [*names, "items", "distance"])
 
-    return map_arrow(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_arrow(docs, run, f"{schema}, items array<{kind.simpleString()}>, distance int")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """Rows of ``docs`` in whose text no item of the benchmark occurs within its error budget; all columns stay as they are."""
-    taken = [c for c in docs.columns if c in {"items", "distance", "contaminated"}]
-    own = docs.withColumnsRenamed({c: f"_own_{c}" for c in taken})
-    clean = find_leaks(own, benchmark, errors).filter("NOT contaminated").select(own.columns)
-    return clean.withColumnsRenamed({f"_own_{c}": c for c in taken}).select(docs.columns)
+    """Rows of ``docs`` in whose text no item of the benchmark occurs within its error budget; all columns stay as they are, whatever their names."""
+    inner = aside(docs, "text")
+    return find_leaks(inner, benchmark, errors).filter("NOT contaminated").select(inner.columns).toDF(*docs.columns)
