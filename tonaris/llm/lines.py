@@ -1,9 +1,8 @@
 """Line dedup: lines that many documents share, found through hashes and given back as keep runs.
 
-Method: every line's key is hashed to 128 bits. Hashes are dealt out by range (the top bits of a
-uniform hash are its range, so no sampling pass is needed) and a salt taken from the document, so
-a line that a third of all documents hold spreads over many tasks. Inside a task rows are sorted
-by hash, then document and position, and first occurrences and changes of document are streamed
+Method: every line's key is hashed to 128 bits. Hashes are range-partitioned together with a salt
+taken from the document, so a line that a third of all documents hold spreads over many ranges.
+Inside a range rows are sorted by hash, then document and position, and first occurrences and changes of document are streamed
 off with ``lag``/``row_number``; their few totals per hash are then added up.
 
 Results are run-length compressed bitmaps of kept lines per document, not texts.
@@ -15,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonaris.llm.common import LOWER, UPPER, WHITE, materialise
+from tonaris.llm.common import LOWER, UPPER, WHITE, aside, materialise
 
 #: Frequent hashes up to this many rows (24 bytes each) are broadcast; above, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -35,7 +34,7 @@ def _row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(11), doc_id, text).alias("_k1"), F.xxhash64(F.lit(12), text, doc_id).alias("_k2")]
 
 
-def shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, ranges: int = 4096, salts: int = 64, keep_first: bool = False) -> DataFrame:
+def shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, salts: int = 64, keep_first: bool = False) -> DataFrame:
     """Positions of lines to drop: ``_k1, _k2, _pos``, once for each distinct row.
 
     A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` and lower-cased (A-Z); keys shorter
@@ -52,11 +51,10 @@ def shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, ranges
     occurrences = materialise(occurrences, "lines")
     dealt = (
         occurrences.select("doc_id", "_row", "_pos", "_h1", "_h2")
-        .withColumn("_range", F.shiftrightunsigned("_h1", 64 - ranges.bit_length() + 1))
         .withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
-        .repartition("_range", "_salt")
+        .repartitionByRange("_h1", "_salt")
     )
-    w = Window.partitionBy("_range", "_salt", "_h1", "_h2").orderBy(F.col("doc_id"), F.col("_row"), F.col("_pos"))
+    w = Window.partitionBy("_h1", "_salt", "_h2").orderBy(F.col("doc_id"), F.col("_row"), F.col("_pos"))
     streamed = dealt.select("_h1", "_h2", "doc_id", "_row", "_pos", F.row_number().over(w).alias("_n"), F.lag("_row").over(w).alias("_before"))
     fresh = F.when(F.col("_n") == 1, 1).when(F.col("_row") != F.col("_before"), 1).otherwise(0)
     first = F.min(F.when(F.col("_n") == 1, F.struct("doc_id", "_row", "_pos")))
@@ -83,12 +81,14 @@ def line_bitmaps(docs: DataFrame, **options) -> DataFrame:
 
     ``keep`` is the run-length form of the bitmap: an array of (start, length) of kept lines, 0-based.
     A null or empty text is one empty line, which is kept. An empty table gives an empty table.
-    Columns named n_lines, n_dropped or keep are replaced; names that start with ``_`` are reserved.
-    ``options`` are those of ``shared_lines``.
+    Columns named n_lines, n_dropped or keep, in any case, are replaced. ``options`` are those of ``shared_lines``.
     """
-    runs = drop_runs(shared_lines(docs, **options))
-    keyed = docs.drop("n_lines", "n_dropped", "keep").select("*", *_row_key(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(runs.hint("shuffle_hash"), ["_k1", "_k2"], "left")
+    taken = {"n_lines", "n_dropped", "keep"}
+    names, inner = [c for c in docs.columns if c.lower() not in taken], aside(docs, "doc_id", "text")
+    inner = inner.select([i for i, c in zip(inner.columns, docs.columns, strict=True) if c.lower() not in taken])
+    runs = drop_runs(shared_lines(inner, **options))
+    keyed = inner.select("*", *_row_key(F.col("doc_id"), F.col("text")))
+    joined = keyed.join(runs, ["_k1", "_k2"], "left")
     n = F.size(_lines(F.col("text")))
     out = joined.withColumn("n_lines", n.cast("long")).withColumn("_runs", F.coalesce("_runs", F.array().cast("array<struct<start:int,length:int>>")))
     gap = """filter(transform(sequence(0, size(_runs)), i -> named_struct(
@@ -96,7 +96,8 @@ def line_bitmaps(docs: DataFrame, **options) -> DataFrame:
         'length', IF(i = size(_runs), CAST(n_lines AS INT), get(_runs, i).start)
                   - IF(i = 0, 0, get(_runs, i - 1).start + get(_runs, i - 1).length))), r -> r.length > 0)"""
     dropped = F.aggregate("_runs", F.lit(0).cast("long"), lambda acc, r: acc + r["length"])
-    return out.withColumn("keep", F.expr(gap)).withColumn("n_dropped", dropped).drop("_k1", "_k2", "_runs")
+    out = out.withColumn("keep", F.expr(gap)).withColumn("n_dropped", dropped)
+    return out.select(*inner.columns, "n_lines", "n_dropped", "keep").toDF(*names, "n_lines", "n_dropped", "keep")
 
 
 def kept_text(text: Column, keep: Column) -> Column:
@@ -106,15 +107,8 @@ def kept_text(text: Column, keep: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with shared lines cut from ``text``; all rows and columns stay, a null text stays null."""
-    columns = docs.columns
-    kept = line_bitmaps(docs, **options)
+    """``docs`` with shared lines cut from ``text``; all rows and columns stay, whatever their names; a null text stays null."""
+    inner = aside(docs, "doc_id", "text")
+    kept = line_bitmaps(inner, **options)
     text = F.when(F.col("text").isNull() | (F.col("n_dropped") == 0), F.col("text")).otherwise(kept_text(F.col("text"), F.col("keep")))
-    return kept.withColumn("text", text).select(columns) if not {"n_lines", "n_dropped", "keep"} & set(columns) else _with_clashes(docs, options)
-
-
-def _with_clashes(docs: DataFrame, options: dict) -> DataFrame:
-    """As ``line_dedup`` for tables that have columns of the bitmaps' names themselves."""
-    taken = [c for c in docs.columns if c in {"n_lines", "n_dropped", "keep"}]
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in taken})
-    return line_dedup(renamed, **options).withColumnsRenamed({f"_own_{c}": c for c in taken}).select(docs.columns)
+    return kept.withColumn("text", text).select(inner.columns).toDF(*docs.columns)
