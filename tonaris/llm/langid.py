@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonaris.llm.common import map_arrow, pick, unit_hash
+from tonaris.llm.common import CHUNK_BYTES, map_arrow, pick, pieces, unit_hash
 
 #: N-grams in a profile and in a document's ranking.
 PROFILE = 300
@@ -37,7 +37,15 @@ def _letters() -> np.ndarray:
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the 1- to 3-grams of a text; words are padded with a space, none crosses words."""
+    """Codes and counts of the 1- to 3-grams of a text; words are padded with a space, none crosses words. A long text is read in pieces."""
+    if len(text) <= CHUNK_BYTES:
+        return _ngrams(text)
+    codes, counts = zip(*(_ngrams(p.decode("utf-8", "surrogatepass")) for p in pieces(text.encode("utf-8", "surrogatepass"))), strict=True)
+    names, where = np.unique(np.concatenate(codes), return_inverse=True)
+    return names, np.bincount(where, np.concatenate(counts), len(names)).astype(np.int64)
+
+
+def _ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     c = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
     c = np.concatenate([[32], c, [32]])
     c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
