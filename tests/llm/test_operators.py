@@ -107,6 +107,98 @@ def test_quality_gradient_is_right():
         assert g[k][at] == pytest.approx((up - down) / 2e-6, abs=1e-6)
 
 
+def test_quality_forward_pass_and_passages_against_plain_ones():
+    text = "  Abc, abc 12!  x" + " word\n" * 130 + "É end "
+    x, n = quality.passages([text.encode(), b"", b" one"])
+    parts = re.findall(r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,64}", text)
+    assert n.tolist() == [len(parts), 1, 1] == [3, 1, 1] and x[3].sum() == 1 and (quality.passages([b""])[0] == x[3]).all()
+    for row, part in zip(x, parts, strict=False):
+        raw, ws, k = part.encode(), part.split(), quality._N_CLASSES
+        kinds = Counter(next((i for i, c in enumerate(quality._CLASSES) if chr(b) in c), len(quality._CLASSES) + (b > 127)) for b in raw)
+        assert row[:k] == pytest.approx([math.sqrt(kinds[i] / len(raw)) for i in range(k)], abs=1e-6)
+        sizes = [len(w.encode()) for w in ws]
+        assert row[k : k + 8] == pytest.approx([np.mean(sizes) / 10, np.std(sizes) / 5, sum(a == b for a, b in zip(ws, ws[1:], strict=False)) / len(ws), len(set(ws)) / len(ws), math.log1p(len(ws)) / 4, sum(s == 1 for s in sizes) / len(ws), sum(s > 15 for s in sizes) / len(ws), 1], abs=1e-5)
+    model, rng = quality.AttentionMIL(seed=3), np.random.default_rng(5)
+    model.mean, model.scale = rng.normal(size=quality.FEATURES), rng.random(quality.FEATURES) + 0.5
+    got, at = model.score(x, n), 0
+    for i, bag in enumerate(n.tolist()):
+        hs, es = [], []
+        for row in x[at : at + bag]:
+            v = [(a - m) / s for a, m, s in zip(row, model.mean, model.scale, strict=True)]
+            h = [math.tanh(sum(a * w for a, w in zip(v, col, strict=True))) for col in model.p["E"].T]
+            dot = lambda w: [sum(a * b for a, b in zip(h, col, strict=True)) for col in w.T]  # noqa: B023, E731
+            gate = [math.tanh(a) / (1 + math.exp(-b)) for a, b in zip(dot(model.p["V"]), dot(model.p["U"]), strict=True)]
+            hs.append(h)
+            es.append(math.exp(sum(a * b for a, b in zip(gate, model.p["w"][:, 0], strict=True))))
+        z = [sum(e * h[k] for e, h in zip(es, hs, strict=True)) / sum(es) for k in range(len(hs[0]))]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(z, model.p["c"][:, 0], strict=True)) - model.p["b"][0])))
+        at += bag
+
+
+def test_toxicity_chain_against_a_plain_one():
+    rng = np.random.default_rng(3)
+    n, size = 90, 40
+    y0 = (rng.random(n) < 0.4).astype(float)
+    y1 = np.where(rng.random(n) < 0.9, y0, 1 - y0)
+    y0[::11] = np.nan
+    has = rng.random((n, size)) < 0.1 + 0.6 * (np.arange(size) < 6) * (y1 == 1)[:, None]
+    row, col = np.nonzero(has)
+    chain = toxicity.Chain(["one", "two"]).fit(row, col, np.column_stack([y0, y1]), size, vocabulary=10)
+
+    def plain(words, model, docs, seen):
+        return np.array([1 / (1 + math.exp(-(sum(model.w[k] for k, w in enumerate(words) if has[d, w]) + sum(a * b for a, b in zip(model.d, seen[i], strict=True)) + model.b))) for i, d in enumerate(docs)])
+
+    everything, none = np.arange(n), np.zeros((n, 0))
+    first = plain(chain.links[0].words, chain.links[0].model, everything, none)
+    both = plain(chain.links[1].words, chain.links[1].model, everything, first[:, None])
+    assert chain.predict(row, col, n) == pytest.approx(np.column_stack([first, both]), abs=1e-9)
+    # what the second link learned from: each fold by a model that saw nothing of it, words included
+    known, fold, out = ~np.isnan(y0), np.arange(n) % toxicity.FOLDS, first.copy()
+    for f in range(toxicity.FOLDS):
+        on = np.flatnonzero(known & (fold != f))
+        r, c = np.nonzero(has[on])
+        words = toxicity.telling(r, c, y0[on], size, 10)
+        r, c = np.nonzero(has[np.ix_(on, words)])
+        model = toxicity.Linear(len(words), 0).fit(r, c, none[on], y0[on])
+        held = np.flatnonzero(known & (fold == f))
+        out[held] = plain(words, model, held, none)
+    words = toxicity.telling(row, col, y1, size, 10)
+    r, c = np.nonzero(has[:, words])
+    second = toxicity.Linear(len(words), 1).fit(r, c, out[:, None], y1)
+    assert chain.links[1].words.tolist() == words.tolist() and second.w == pytest.approx(chain.links[1].model.w) and second.d == pytest.approx(chain.links[1].model.d)
+
+
+def test_columns_of_other_case_stay_as_they_are(spark):
+    rows = [(1, "alpha beta\nsame", "S", "K", "I", "T"), (2, "gamma delta\nsame", "s", "k", "i", "t")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, Score string, Keep string, Items string, Taken string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([("one", "gamma delta"), (None, "nowhere to be found")], "item_id string, text string")
+    model = quality.fit(table, labels)
+    assert quality.score(table, model).columns == ["doc_id", "text", "Keep", "Items", "Taken", "score"]
+    assert quality.accept(table, model, 0.0).collect() == table.collect()
+    out = lines.line_dedup(table, min_docs=2)
+    assert out.columns == table.columns and sorted(map(tuple, out.collect())) == [(1, "alpha beta", "S", "K", "I", "T"), (2, "gamma delta", "s", "k", "i", "t")]
+    assert lines.line_bitmaps(table, min_docs=2).columns == ["doc_id", "text", "Score", "Items", "Taken", "n_lines", "n_dropped", "keep"]
+    assert [tuple(r) for r in decontaminate.decontaminate(table, bench).collect()] == rows[:1]
+    found = decontaminate.find_leaks(table, bench)
+    assert found.columns == ["doc_id", "text", "Score", "Keep", "Taken", "items", "distance", "contaminated"]
+    assert {r["doc_id"]: r["items"] for r in found.collect()} == {1: [], 2: ["one"]}
+    assert sorted(map(tuple, simhash.near_dedup(table).collect())) == rows
+    clash = table.withColumnRenamed("Score", "Source").withColumnRenamed("Keep", "Size")
+    assert mixing.mix_sources(clash).count() == 2
+    assert langid.identify(table, langid.fit(table.withColumnRenamed("Keep", "lang"))).count() == 2
+    assert toxicity.score(table, toxicity.fit(table, labels)).count() == 2
+
+
+def test_many_shards_find_what_one_finds(spark, monkeypatch):
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(["one two three four", "nothing", None, "five six seven eight one two three four"])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two three four"), (2, "five six seven eight"), (3, "absent items here")], "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.find_leaks(table, bench).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 10)
+    monkeypatch.setattr(decontaminate, "WINDOW", 7)
+    assert sorted(map(tuple, decontaminate.find_leaks(table, bench).collect()), key=str) == whole and whole[0][2] == [1]
+
+
 def test_quality_and_toxicity_on_odd_tables(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (4, None, 1), (8, 0, 1), (None, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
     for table in (odd, odd.limit(0)):
@@ -194,6 +286,11 @@ def test_chat_round_trip(spark):
     for r in chat.inline_contexts(turns).collect():
         assert whole[r["conv_id"]].startswith(r["context"] + r["reply"]) and r["context"].endswith("assistant\n") and r["reply"].endswith("<|im_end|>")
     assert chat.inline_contexts(turns).count() == sum(x[2] == "assistant" for x in rows)
+    for r in chat.examples(turns).collect():
+        assert whole[r["conv_id"]][: r["context_chars"]].endswith("assistant\n") and whole[r["conv_id"]][r["context_chars"] :][: r["reply_chars"]].endswith("<|im_end|>")
+    assert chat.examples(turns).count() == sum(x[2] == "assistant" for x in rows)
+    wrong = turns.withColumn("reply_chars", F.when((F.col("conv_id") == 2) & F.col("example"), F.col("reply_chars") - 1).otherwise(F.col("reply_chars")))
+    assert {r["conv_id"]: r["loss_sha256"] for r in chat.read_back(wrong).collect()}[2] != got[2]["loss_sha256"]
     assert chat.read_back(chat.format_turns(table.limit(0))).count() == 0
 
 
@@ -343,6 +440,12 @@ def test_long_texts_in_pieces_are_whole(monkeypatch):
     monkeypatch.setattr(common.slices, "__defaults__", (100,))
     assert len(list(common.pieces(text))) > 50 and b"".join(common.pieces(text)) == text
     assert whole == ([simhash.fingerprint(t, 3, 2) for t in texts], [s.tolist() for s in simhash.shingle_sets(texts, 5)])
+    bags, grams, seen = quality.passages([text]), langid.ngrams(text.decode()), toxicity.counts([text])
+    for module in (quality, langid, toxicity):
+        monkeypatch.setattr(module, "CHUNK_BYTES", 64)
+    for before, after in ((bags, quality.passages([text])), (grams, langid.ngrams(text.decode())), (seen, toxicity.counts([text]))):
+        assert all(np.allclose(a, b) for a, b in zip(before, after, strict=True))
+    assert quality.passages([b" " * 99])[1].tolist() == [1]
 
 
 def test_no_short_near_duplicate_is_lost(spark):

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonaris.llm.common import materialise, word_count
+from tonaris.llm.common import materialise, pick, word_count
 
 #: Weights cycle through these by the rank of the source.
 CYCLE = 3
@@ -85,7 +85,7 @@ def mix_sources(docs: DataFrame, repeats: int = 3, seed: str = "mix", buckets: i
     The result is range-sorted by position, rows that are not taken last.
     """
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("_order"))
+    sized = pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("_order"))
     sized = materialise(sized, "sizes")
     targets = source_targets(sized, repeats)
     # buckets are ranges of the order: its first 4 hex digits, cut to ``buckets`` ranges
@@ -130,9 +130,25 @@ x AS (SELECT *, greatest(0, least(size, k - st)) AS a, greatest(0, least(size, k
 
 
 def mix_sql(docs: str = "documents", ctes: str = "") -> str:
-    """DuckDB SQL for doc_id, size, source_size, target, taken and copies of ``mix_sources``."""
+    """DuckDB SQL for doc_id, size, source_size, target, taken, copies and the first three positions of ``mix_sources``."""
     head = MIX_SQL.replace("{docs}", docs)
     if ctes:
         head = head.replace("WITH d AS", f"WITH {ctes}, d AS", 1)
-    return head + """SELECT doc_id, size, source_size, target, CAST(a + b + e AS BIGINT) AS taken,
-       CAST((a > 0)::INT + (b > 0)::INT + (e > 0)::INT AS INT) AS copies FROM x"""
+    at = ", ".join(f"CASE WHEN {t} > 0 THEN {_invert_sql(f'((st + {r} * source_size + {t} / 2) / target)')} END AS t{r}" for r, t in enumerate("abe"))
+    return head + f""", p AS (SELECT *, {at} FROM x),
+q AS (SELECT *, list_filter([t0, t1, t2], lambda t: t IS NOT NULL) AS ts FROM p)
+SELECT doc_id, size, source_size, target, CAST(a + b + e AS BIGINT) AS taken,
+       CAST((a > 0)::INT + (b > 0)::INT + (e > 0)::INT AS INT) AS copies, {", ".join(f"coalesce(floor(ts[{k}] * 1000000 + 0.5::DOUBLE) / 1000000, -1) AS position_{k}" for k in (1, 2, 3))} FROM q"""
+
+
+def _invert_sql(share: str) -> str:
+    """``invert_schedule`` in SQL, by the rank ``rnk``."""
+    out = []
+    for r, phases in SCHEDULES.items():
+        n, total, seen, branch = len(phases), float(sum(phases)), 0.0, ""
+        for i, w in enumerate(phases):
+            if w > 0:
+                branch += f" WHEN {share} * {total}::DOUBLE <= {seen + w}::DOUBLE THEN ({i} + ({share} * {total}::DOUBLE - {seen}::DOUBLE) / {w}::DOUBLE) / {n}"
+                seen += w
+        out.append(f"WHEN {r} THEN greatest(0, least(1, CASE{branch} ELSE 1 END))")
+    return f"CASE rnk % {len(SCHEDULES)} {' '.join(out)} END"

@@ -18,11 +18,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    """Positions are the training time of each pass that takes some of a document, -1 where there is none, on a grid of 1e-6 as in the SQL."""
+    mix = mixing.mix_sources(read(spark, sf_dir, "documents"))
+    at = [F.coalesce(F.floor(F.get("positions", F.lit(k - 1)) * 1000000 + 0.5).cast("double") / 1000000, F.lit(-1.0)).alias(f"position_{k}") for k in (1, 2, 3)]
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "copies", *at)
 
 
 def op2_mixing_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What op2_mixing's SQL has no columns for: the training time of every pass that takes some of a document."""
+    """The training time of every pass that takes some of a document, as an array."""
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "taken", "copies", "positions")
 
 
@@ -48,8 +51,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    chain = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain)
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +90,3 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY r
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op2_mixing_schedule, op3_chat, op4_langid, op5_simhash, op6_toxicity, op7_decontaminate, op8_embeddings, op9_lm, op10_lines)}
 ORACLE_SQL = {"op2_mixing": mixing.mix_sql(), "op3_chat": chat.CHAT_SQL, "op10_lines": LINES_SQL}
-# op2_mixing has the columns of its SQL; the positions, a free choice of the schedule, are in op2_mixing_schedule
