@@ -13,10 +13,7 @@ from tonaris.llm.common import materialise, read
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.5 or more; a rejected document goes."""
-    model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    held = docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs
-    kept = quality.score(held, model).filter("score >= 0.5").drop("score")
-    return kept.withColumnsRenamed({"_score": "score"}).select(docs.columns)
+    return quality.accept(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
