@@ -605,17 +605,71 @@ def test_lm_counts_and_both_ways_to_score(spark, docs, plain, odd):
         assert lm.score(odd, model, table).count() == len(ODD)
 
 
-def test_lm_probabilities_sum_to_one(spark, docs):
+def test_lm_probabilities_sum_to_one(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_ROWS", 1 << 12)
     model, table = lm.fit(docs.limit(50))
-    s = lm.Stream([b"the of and"])
-    z = lm._softmax(model.w, model.bias, s.features())
-    assert np.exp(z).sum(axis=1) / np.exp(z).sum(axis=1) == pytest.approx(1)
-    rows = table.collect()
-    cls = np.array([model.table[r["ending"]] for r in rows])
-    p = 10 ** model.within(np.array([r["c"] for r in rows]), cls)
-    for k in set(cls.tolist()) - {lm.CLASSES - 1}:
-        unknown = 1 / (model.class_tokens[k] + model.class_words[k] + 1)
-        assert p[cls == k].sum() + unknown == pytest.approx(1)
+    shape, rows = model.shape, table.collect()
+    assert len(rows) > 3 * len(shape.names) / 2 and len(shape.names) == lm.REST * lm.MEMBERS
+    h, c = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["c"] for r in rows])
+    unknown = np.array([(k << 59) + 1 for k in range(lm.MEMBERS)], np.uint64)  # one unknown word for each cell
+    every, count = np.concatenate([h, unknown]), np.concatenate([c, np.zeros(len(unknown))])
+    for before in ([], [h[0]], [h[0], h[1]], [unknown[3], h[5]], [h[2], unknown[0]]):
+        s = lm.Stream([b"x"] * len(every))
+        n = len(before) + 2
+        s.h = np.concatenate([np.array([*before, word, lm._EDGE], np.uint64) for word in every])
+        s.count = np.full(len(every), n)
+        s.first = np.arange(len(every)) * n
+        p = 10 ** (model.softmax_score(s)[len(before) :: n] + model.within(every, count))
+        assert p.sum() == pytest.approx(1, abs=1e-4) and (p > 0).all()
+
+
+def test_lm_score_against_a_plain_one(spark):
+    rng = random.Random(31)
+    vocabulary = [f"w{i}x" for i in range(40)]
+    texts = [" ".join(rng.choices(vocabulary, range(1, 41), k=rng.randrange(0, 60))) for _ in range(80)] + [None, "", "never seen before W3x"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    shape = lm.Shape([(int(lm.Stream([w.encode()]).h[0]), i % 2, 5 + i) for i, w in enumerate(vocabulary[:39])], {1: (30, 3), 2: (4, 4)}, 500, 41)
+    w = np.random.default_rng(1).normal(size=(2 * shape.rows, lm.MEMBERS)).astype(np.float32)
+    model = lm.Model(shape, w, shape.bias, None)
+    place = dict(zip(shape.names.tolist(), shape.place.tolist(), strict=True))
+    assert sorted(place.values()) == list(range(39))
+    mixed = lambda x: int(lm.mix(np.array([x % (1 << 64)], np.uint64))[0])
+    shift = 64 - int(math.log2(shape.rows))
+    for text in texts:
+        hashes = [int(lm.Stream([word.encode()]).h[0]) for word in words(text)] + [int(lm._EDGE)]
+        want, edge = 0.0, int(lm._EDGE)
+        for i, h in enumerate(hashes):
+            one, two = (hashes[i - 1] if i else edge), (hashes[i - 2] if i > 1 else edge)
+            past = [mixed(one), mixed(one * 3 + mixed(two)), mixed(two ^ 0x5851F42D4C957F2D)]
+            cls, member = divmod(place.get(h, lm.REST * lm.MEMBERS + (h >> 59)), lm.MEMBERS)
+            inside = [mixed(f + (cls + 1) * 0xC2B2AE3D27D4EB4F) for f in past]
+            for rows, bias, y in (([f >> shift for f in past], shape.bias[0], cls), ([(f >> shift) + shape.rows for f in inside], shape.bias[1 + cls], member)):
+                z = [max(float(bias[k]) + sum(float(w[r, k]) for r in rows), -600.0) for k in range(lm.MEMBERS)]
+                want += (z[y] - math.log(sum(math.exp(v) for v in z))) / math.log(10)
+        assert model.softmax_score(lm.Stream([(text or "").encode()])).sum() == pytest.approx(want, rel=1e-4)
+    # the whole operator: counts by hand, the two levels from the model
+    fitted, counts = lm.fit(table)
+    c = Counter(h for t in texts for h in [*(int(lm.Stream([x.encode()]).h[0]) for x in words(t)), int(lm._EDGE)])
+    for r in lm.score(table, fitted, counts).collect():
+        s = lm.Stream([(texts[r["doc_id"]] or "").encode()])
+        rest = sum(math.log10((c[h] + 1) / (fitted.shape.cell_tokens[h >> 59] + fitted.shape.cell_words[h >> 59] + 1)) for h in s.h.tolist() if h not in set(fitted.shape.names.tolist()))
+        assert r["score"] == pytest.approx(fitted.softmax_score(s).sum() + rest, rel=1e-5)
+
+
+def test_lm_learns_orders_of_words(spark):
+    rng = random.Random(33)
+    follow = {w: rng.sample([f"v{i}" for i in range(30)], 2) for w in (f"v{i}" for i in range(30))}
+
+    def walk():
+        out = [rng.choice(sorted(follow))]
+        for _ in range(40):
+            out.append(rng.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    table = spark.createDataFrame([(i, walk()) for i in range(600)], "doc_id long, text string").coalesce(4)
+    model, counts = lm.fit(table.filter("doc_id < 500"))
+    out = lm.score(table.filter("doc_id >= 500"), model, counts).agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > 0.75 * out[1]
 
 
 def brute_lines(rows, least):

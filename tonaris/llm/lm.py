@@ -1,17 +1,19 @@
 """LM scoring with a hashed maximum-entropy model and a class-factored softmax.
 
 A text's tokens are its words (A-Z lower-cased) and one end token. The probability of a token is that of its
-class, given the tokens before it, times that of the token within its class:
-
-* Classes are orthographic: a word's last two bytes. The most frequent endings of the training tokens are classes of
-  their own, the others share a few; the end token has its own.
-* P(class | history) is a softmax over sums of hashed feature rows: the previous word, the previous two words, and the
-  word before the previous one (a skip feature).
-* P(word | class) is add-one smoothed over the class's training words, with one place for unknown words.
-
-Weights are trained by distributed gradient updates: in each round every task runs AdaGrad mini-batches on its share of
-the training texts, from the same weights; their updates are averaged by row, weighted by use. Each training text is used
-in exactly one round. Counts are exact, over all training texts.
+class, given the tokens before it, times that of the token within its class, given them as well:
+
+* The most frequent words of the training tokens and the end token are the shortlist, sorted by their last two bytes and cut
+  into classes of ``MEMBERS``. All other words are one class, whose members are ``MEMBERS`` cells by the word's hash.
+* P(class | history) and P(member | class, history) are softmaxes over sums of hashed feature rows: the previous word, the
+  previous two words, and the word before the previous one (a skip feature); for members the class is hashed in.
+* A word of the shortlist is a member. Within a cell, P(word | cell) is add-one smoothed over the cell's training words, with
+  one place for unknown words.
+
+Feature rows grow with the training tokens up to ``MOST_ROWS``. Weights are trained by distributed gradient updates: in each
+round every learner runs AdaGrad mini-batches on its share of the training texts, from the same weights; their updates are
+added up in a tree and averaged by row, weighted by use. Each training text is used in exactly one round. Counts are exact,
+over all training texts.
 """
 
 from __future__ import annotations
@@ -20,60 +22,63 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonaris.llm.common import Tokens, map_arrow, materialise, mix, slices, texts_of, unit_hash
+from tonaris.llm.common import CHUNK_BYTES, Tokens, map_arrow, materialise, mix, pick, pieces, slices, texts_of, unit_hash
 
-CLASSES, OWN_ENDINGS = 32, 24
-ROWS = 1 << 15
+CLASSES, MEMBERS = 32, 32
+#: The class of the words outside the shortlist.
+REST = CLASSES - 1
+#: Training tokens for each feature row, and bounds on the number of rows of each of the two softmax levels.
+TOKENS_PER_ROW, LEAST_ROWS, MOST_ROWS = 1024, 1 << 14, 1 << 18
 ROUNDS = 2
 BATCH = 8192
-#: Words whose counts are broadcast (12 bytes each); with more, texts and counts meet in a shuffle instead.
-BROADCAST_WORDS = 12_000_000
+#: Training tokens of one learner, and the least number of learners.
+LEARNER_TOKENS, LEAST_LEARNERS = 8_000_000, 12
+#: Words whose counts are broadcast (12 bytes each), the most frequent ones; texts meet the counts of the others in a shuffle.
+BROADCAST_WORDS = 2_000_000
 _EDGE = np.uint64(0xA0761D6478BD642F)
 _END_ENDING = 0
-_BLOCKS = 32
+_BLOCK = 4096
+_NEVER = np.float32(-1e30)
 
 
 class Stream:
-    """Tokens of several texts with end tokens: hash, ending, and text of each; ``first`` and ``count`` by text."""
+    """Tokens of several texts with end tokens: hash and ending of each; ``first`` and ``count`` by text. A long text is read in pieces."""
 
     def __init__(self, texts: list[bytes]):
-        t = Tokens(texts)
-        n = len(texts)
-        at_end = np.cumsum(t.count) + np.arange(n)
-        total = len(t.starts) + n
-        word = np.ones(total, bool)
+        if len(texts) == 1 and len(texts[0]) > CHUNK_BYTES:
+            parts = [self._words(Tokens([p])) for p in pieces(texts[0])]
+            h, ending = (np.concatenate(x) for x in zip(*parts, strict=True))
+            count = np.array([len(h)])
+        else:
+            t = Tokens(texts)
+            (h, ending), count = self._words(t), t.count
+        at_end = np.cumsum(count) + np.arange(len(texts))
+        word = np.ones(len(h) + len(texts), bool)
         word[at_end] = False
-        self.h = np.full(total, _EDGE, np.uint64)
-        self.h[word] = t.hashes()
+        self.h = np.full(len(word), _EDGE, np.uint64)
+        self.h[word] = h
+        self.ending = np.full(len(word), _END_ENDING, np.int64)
+        self.ending[word] = ending
+        self.count = count + 1
+        self.first = np.cumsum(self.count) - self.count
+
+    @staticmethod
+    def _words(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         last = t.data[t.ends - 1].astype(np.int64)
         before = np.where(t.ends - t.starts > 1, t.data[np.maximum(t.ends - 2, 0)], 0).astype(np.int64)
-        self.ending = np.full(total, _END_ENDING, np.int64)
-        self.ending[word] = before * 256 + last
-        self.count = t.count + 1
-        self.first = np.cumsum(self.count) - self.count
+        return t.hashes(), before * 256 + last
 
-    def features(self) -> np.ndarray:
-        """Feature rows of each token, (tokens, 3); histories begin with an edge mark."""
-        h = self.h
-        one = np.concatenate([[_EDGE], h[:-1]])
+    def histories(self) -> np.ndarray:
+        """Hashes of the three features of each token, (3, tokens); histories begin with an edge mark."""
+        one = np.concatenate([[_EDGE], self.h[:-1]])
         one[self.first] = _EDGE
         two = np.concatenate([[_EDGE], one[:-1]])
         two[self.first] = _EDGE
-        rows = [mix(one), mix(one * np.uint64(3) + mix(two)), mix(two ^ np.uint64(0x5851F42D4C957F2D))]
-        shift = np.uint64(64 - int(math.log2(ROWS)))
-        return np.stack([(r >> shift).astype(np.int32) for r in rows], axis=1)
-
-
-def class_table(endings: list[tuple[int, int]]) -> np.ndarray:
-    """Class of each ending: the most frequent ones (count, ties by ending) have their own, the end token the last."""
-    table = (OWN_ENDINGS + mix(np.arange(65536, dtype=np.uint64)) % np.uint64(CLASSES - OWN_ENDINGS - 1)).astype(np.int32)
-    for c, (ending, _) in enumerate(sorted((x for x in endings if x[0] != _END_ENDING), key=lambda x: (-x[1], x[0]))[:OWN_ENDINGS]):
-        table[ending] = c
-    table[_END_ENDING] = CLASSES - 1
-    return table
+        return np.stack([mix(one), mix(one * np.uint64(3) + mix(two)), mix(two ^ np.uint64(0x5851F42D4C957F2D))])
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -112,11 +117,53 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, ending long, c long").groupBy("h").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
 
-def _softmax(w: np.ndarray, bias: np.ndarray, x: np.ndarray) -> np.ndarray:
-    z = w[x[:, 0]]
-    z += w[x[:, 1]]
-    z += w[x[:, 2]]
-    z += bias
+class Shape:
+    """Which class and member each word is, and how many feature rows there are; ``names`` (sorted hashes) and ``place`` of the shortlist."""
+
+    def __init__(self, shortlist: list[tuple[int, int, int]], cells: dict[int, tuple[int, int]], n: int, v: int):
+        """shortlist: (hash, ending, count) of each word; cells: training tokens and distinct words of each cell of the rest."""
+        ordered = sorted(shortlist, key=lambda x: (x[1], x[0]))
+        h = np.array([x[0] for x in ordered], np.uint64)
+        order = np.argsort(h)
+        self.names, self.place = h[order], order.astype(np.int32)
+        self.n, self.v = n, v
+        self.rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << math.ceil(math.log2(max(1, n / TOKENS_PER_ROW)))))
+        self.cell_tokens, self.cell_words = np.zeros(MEMBERS), np.zeros(MEMBERS)
+        for k, (tokens, kinds) in cells.items():
+            self.cell_tokens[k], self.cell_words[k] = tokens, kinds
+        share = np.zeros((CLASSES, MEMBERS))
+        share.reshape(-1)[: len(ordered)] = [x[2] for x in ordered]
+        share[REST] = self.cell_tokens + 1
+        with np.errstate(divide="ignore"):
+            of_class = np.log(share.sum(axis=1) / share.sum())
+            within = np.log(share / np.maximum(share.sum(axis=1, keepdims=True), 1))
+        #: Row 0: biases of the classes; row 1 + c: of the members of class c. What does not exist never happens.
+        self.bias = np.maximum(np.concatenate([of_class[None, :], within]), _NEVER).astype(np.float32)
+
+    def targets(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and member of each token."""
+        place = (REST * MEMBERS + (h >> np.uint64(59)).astype(np.int32)).astype(np.int32)
+        if len(self.names):
+            at = np.searchsorted(self.names, h)
+            at[at == len(self.names)] = 0
+            place = np.where(self.names[at] == h, self.place[at], place)
+        return place // MEMBERS, place % MEMBERS
+
+    def samples(self, s: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two softmax samples for each token, its class and its member: feature rows (3, 2 tokens), bias rows and outcomes."""
+        shift, past = np.uint64(64 - int(math.log2(self.rows))), s.histories()
+        cls, member = self.targets(s.h)
+        inside = mix(past + (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        x = np.stack([past >> shift, (inside >> shift) + np.uint64(self.rows)], axis=2).astype(np.int32).reshape(3, -1)
+        return x, np.stack([np.zeros_like(cls), cls + 1], axis=1).reshape(-1).astype(np.uint8), np.stack([cls, member], axis=1).reshape(-1)
+
+
+def _margins(w: np.ndarray, bias: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log weights of all outcomes, the largest of each sample being 0."""
+    z = w[x[0]]
+    z += w[x[1]]
+    z += w[x[2]]
+    z += bias[at]
     z -= z.max(axis=1, keepdims=True)
     return z
 
@@ -124,133 +171,177 @@ def _softmax(w: np.ndarray, bias: np.ndarray, x: np.ndarray) -> np.ndarray:
 class _Learner:
     def __init__(self, w: np.ndarray, bias: np.ndarray, rate: float = 0.3):
         self.w, self.bias, self.rate = w.copy(), bias.copy(), rate
-        self.used = np.zeros(len(w), np.float32)
-        self.square, self.square_b = np.full(len(w), 1e-2, np.float32), 1e-2
+        self.used, self.used_b = np.zeros(len(w), np.float32), np.zeros(len(bias), np.float32)
+        self.square, self.square_b = np.full(len(w), 1e-2, np.float32), np.full(len(bias), 1e-2, np.float32)
 
-    def update(self, x: np.ndarray, y: np.ndarray) -> None:
+    def update(self, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
         """One AdaGrad step on a mini-batch; rows that it does not touch stay as they are."""
-        g = np.exp(_softmax(self.w, self.bias, x))
+        g = np.exp(_margins(self.w, self.bias, x, at))
         g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(y)), y] -= 1
-        for k in range(3):
-            order = np.argsort(x[:, k], kind="stable")
-            rows = x[order, k]
-            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            names, n = rows[first], np.diff(np.concatenate([first, [len(rows)]]))
-            grad = np.add.reduceat(g[order], first, axis=0)
-            grad /= np.sqrt(n)[:, None]
-            self.square[names] += (grad * grad).mean(axis=1)
-            self.w[names] -= self.rate * grad / np.sqrt(self.square[names])[:, None] / 3
-            self.used[names] += n
-        mean = g.sum(axis=0) / math.sqrt(len(y))
-        self.square_b += float((mean * mean).mean())
-        self.bias -= self.rate * mean / math.sqrt(self.square_b) / 3
-
-
-def train(texts: DataFrame, table: np.ndarray, endings: list[tuple[int, int]], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (ROWS, CLASSES) and bias, from all rows (doc_id, text)."""
-    w = np.zeros((ROWS, CLASSES), np.float32)
-    share = np.bincount(table[[e for e, _ in endings]] if endings else np.zeros(0, np.int64), [n for _, n in endings], CLASSES) + 1.0
-    bias = np.log(share / share.sum()).astype(np.float32)
-    per = ROWS // _BLOCKS
-    schema = "block int, delta binary, used binary"
+        for rows in x:
+            self._step(self.w, self.square, self.used, rows, g)
+        self._step(self.bias, self.square_b, self.used_b, at, g)
+
+    def _step(self, table: np.ndarray, square: np.ndarray, used: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable" if rows.dtype == np.uint8 else None)
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        names, n = rows[first], np.diff(np.concatenate([first, [len(rows)]])).astype(np.float32)
+        grad = np.add.reduceat(g[order], first, axis=0)
+        grad /= np.sqrt(n)[:, None]
+        total = square[names] + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+        square[names] = total
+        grad *= (np.float32(-self.rate / 3) / np.sqrt(total))[:, None]
+        table[names] += grad
+        used[names] += n
+
+
+def _changed(block: int, before: np.ndarray, after: np.ndarray, used: np.ndarray):
+    """Touched rows of a table in blocks: number, rows, changes times uses, uses."""
+    for lo in range(0, len(before), _BLOCK):
+        rows = np.flatnonzero(used[lo : lo + _BLOCK])
+        if len(rows):
+            at = rows + lo
+            change = (after[at] - before[at]) * used[at][:, None]
+            yield block + lo // _BLOCK, rows.astype(np.int32).tobytes(), change.tobytes(), used[at].tobytes()
+
+
+_UPDATE = "block int, part int, rows binary, change binary, used binary"
+_NAMES = ["block", "part", "rows", "change", "used"]
+
+
+def _add(last: bool):
+    """Sums of the updates of each (block, part) that a task gets; ``last``: averages by use instead."""
+
+    def run(batches):
+        sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for k, part, rows, change, used in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                total, uses = sums.setdefault((k, part), (np.zeros((_BLOCK, MEMBERS), np.float32), np.zeros(_BLOCK, np.float32)))
+                at = np.frombuffer(rows, np.int32)
+                total[at] += np.frombuffer(change, np.float32).reshape(-1, MEMBERS)
+                uses[at] += np.frombuffer(used, np.float32)
+        for (k, part), (total, uses) in sums.items():
+            at = np.flatnonzero(uses)
+            change = total[at] / uses[at][:, None] if last else total[at]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0 if last else part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), change, uses[at]))], _NAMES)
+
+    return run
+
+
+def train(texts: DataFrame, shape: Shape, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (2 * rows, MEMBERS) and biases (1 + CLASSES, MEMBERS), from all rows (doc_id, text)."""
+    spark = texts.sparkSession
+    w, bias, blocks = np.zeros((2 * shape.rows, MEMBERS), np.float32), shape.bias, 2 * shape.rows // _BLOCK
+    learners = max(LEAST_LEARNERS, math.ceil(shape.n / rounds / LEARNER_TOKENS))
+    fan = math.ceil(math.sqrt(learners))
     for r in range(rounds):
-        part = texts.filter(F.floor(unit_hash("doc_id", seed=9) * rounds) == r).select("text")
+        part = texts.filter(F.floor(unit_hash("doc_id", seed=9) * rounds) == r).select("text").coalesce(learners)
+        shared = spark.sparkContext.broadcast((w, bias))
 
-        def learn(batches, w=w, bias=bias):
-            model, xs, ys, size = _Learner(w, bias), [], [], 0
+        def learn(batches, shared=shared):
+            w, bias = shared.value
+            model, held, size = None, [], 0
             for b in batches:
+                model = model or _Learner(w, bias)
                 rows = texts_of(b.column(0))
                 for lo, hi in slices(rows, 1 << 19):
-                    s = Stream(rows[lo:hi])
-                    x, y = s.features(), table[s.ending]
-                    for at in range(0, len(y), BATCH):
-                        xs, ys, size = [*xs, x[at : at + BATCH]], [*ys, y[at : at + BATCH]], size + len(y[at : at + BATCH])
-                        if size >= BATCH:
-                            model.update(np.concatenate(xs), np.concatenate(ys))
-                            xs, ys, size = [], [], 0
+                    made = shape.samples(Stream(rows[lo:hi]))
+                    for at in range(0, len(made[2]), 2 * BATCH):
+                        held.append([m[..., at : at + 2 * BATCH] for m in made])
+                        size += len(held[-1][2])
+                        if size >= 2 * BATCH:
+                            model.update(*(np.concatenate(m, axis=-1) for m in zip(*held, strict=True)))
+                            held, size = [], 0
             if size:
-                model.update(np.concatenate(xs), np.concatenate(ys))
-            if not model.used.any():
+                model.update(*(np.concatenate(m, axis=-1) for m in zip(*held, strict=True)))
+            if model is None:
                 return
-            delta = (model.w - w) * model.used[:, None]
-            blocks = [(k, delta[k * per : (k + 1) * per].tobytes(), model.used[k * per : (k + 1) * per].tobytes()) for k in range(_BLOCKS)]
-            n = np.float32(model.used.sum())
-            blocks.append((_BLOCKS, ((model.bias - bias) * n).tobytes(), np.array([n]).tobytes()))
-            k, d, u = zip(*blocks, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(d, pa.binary()), pa.array(u, pa.binary())], ["block", "delta", "used"])
-
-        def add(batches):
-            sums: dict[int, list[np.ndarray]] = {}
-            for b in batches:
-                for k, d, u in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    d, u = np.frombuffer(d, np.float32).astype(np.float64), np.frombuffer(u, np.float32).astype(np.float64)
-                    if k in sums:
-                        sums[k][0] += d
-                        sums[k][1] += u
-                    else:
-                        sums[k] = [d, u]
-            if sums:
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([d.tobytes() for d, _ in sums.values()], pa.binary()), pa.array([u.tobytes() for _, u in sums.values()], pa.binary())], ["block", "delta", "used"])
-
-        total = part.mapInArrow(learn, schema).repartition(_BLOCKS + 1, "block").mapInArrow(add, schema)
+            task = TaskContext.get().partitionId() % fan
+            for before, after, used, start in ((w, model.w, model.used, 0), (bias, model.bias, model.used_b, blocks)):
+                for k, rows, change, uses in _changed(start, before, after, used):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([rows], pa.binary()), pa.array([change], pa.binary()), pa.array([uses], pa.binary())], _NAMES)
+
+        n = min(blocks + 1, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        total = part.mapInArrow(learn, _UPDATE).repartition(n, "block", "part").mapInArrow(_add(False), _UPDATE).repartition(n, "block").withColumn("part", F.lit(0)).mapInArrow(_add(True), _UPDATE)
         w, bias = w.copy(), bias.copy()
         for row in total.toLocalIterator():
-            d, u = np.frombuffer(row["delta"], np.float64), np.frombuffer(row["used"], np.float64)
-            if row["block"] == _BLOCKS:
-                bias += (d / max(u[0], 1.0)).astype(np.float32)
+            at, change = np.frombuffer(row["rows"], np.int32), np.frombuffer(row["change"], np.float32).reshape(-1, MEMBERS)
+            if row["block"] == blocks:
+                bias[at] += change
             else:
-                w[row["block"] * per : (row["block"] + 1) * per] += (d.reshape(per, CLASSES) / np.maximum(u, 1)[:, None]).astype(np.float32)
+                w[at + row["block"] * _BLOCK] += change
+        shared.unpersist()
     return w, bias
 
 
 class Model:
-    """Trained weights with the sizes that smoothing needs; ``words`` (h, c) sorted by hash, or None if they are too many."""
-
-    def __init__(self, table, w, bias, n, v, class_tokens, class_words, words):
-        self.table, self.w, self.bias, self.n, self.v = table, w, bias, n, v
-        self.class_tokens, self.class_words, self.words = class_tokens, class_words, words
-
-    def class_score(self, s: Stream) -> np.ndarray:
-        """log10 P(class | history) of each token, in sparse batches."""
-        x, y, out = s.features(), self.table[s.ending], np.empty(len(s.h))
-        for lo in range(0, len(y), BATCH):
-            z = _softmax(self.w, self.bias, x[lo : lo + BATCH])
-            mine = z[np.arange(len(z)), y[lo : lo + BATCH]]
-            out[lo : lo + BATCH] = (mine - np.log(np.exp(z, out=z).sum(axis=1))) / math.log(10)
-        return out
-
-    def within(self, c: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """log10 P(token | class) for counts c."""
-        end = cls == CLASSES - 1
-        return np.where(end, 0.0, np.log10((c + 1.0) / (self.class_tokens[cls] + self.class_words[cls] + 1.0)))
+    """Trained weights and the counts of the most frequent words (sorted hashes, counts), or None."""
+
+    def __init__(self, shape: Shape, w: np.ndarray, bias: np.ndarray, words: tuple[np.ndarray, np.ndarray] | None):
+        self.shape, self.w, self.bias, self.words = shape, w, bias, words
+
+    def softmax_score(self, s: Stream) -> np.ndarray:
+        """log10 of P(class | history) P(member | class, history) of each token, in sparse batches."""
+        x, at, y = self.shape.samples(s)
+        out = np.empty(len(y))
+        for lo in range(0, len(y), 2 * BATCH):
+            z = _margins(self.w, self.bias, x[:, lo : lo + 2 * BATCH], at[lo : lo + 2 * BATCH])
+            mine = z[np.arange(len(z)), y[lo : lo + 2 * BATCH]]
+            out[lo : lo + 2 * BATCH] = (mine - np.log(np.exp(z, out=z).sum(axis=1))) / math.log(10)
+        return out.reshape(-1, 2).sum(axis=1)
+
+    def within(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 P(token | member) for counts c: 0 on the shortlist."""
+        cls, member = self.shape.targets(h)
+        return np.where(cls == REST, np.log10((c + 1.0) / (self.shape.cell_tokens[member] + self.shape.cell_words[member] + 1.0)), 0.0)
 
     def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 1.0) / (self.n + self.v + 1.0))
+        return np.log10((c + 1.0) / (self.shape.n + self.shape.v + 1.0))
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Counts of words, 0 for those not held here."""
+        names, c = self.words or ((), ())
+        if not len(names):
+            return np.zeros(len(h), np.int64)
+        at = np.searchsorted(names, h)
+        at[at == len(names)] = 0
+        return np.where(names[at] == h, c[at], 0)
+
+
+def _frequent(words: DataFrame, v: int, most: int) -> DataFrame:
+    """The most frequent words, at most ``most``: all from a count on, taken from a histogram of counts in steps of an eighth of a doubling."""
+    if v <= most:
+        return words
+    step = F.floor(F.log2("c") * 8).cast("int")
+    seen, least = 0, None
+    for row in words.groupBy(step.alias("k")).count().orderBy(F.desc("k")).collect():  # some 500 rows at most
+        seen += row["count"]
+        if seen > most:
+            break
+        least = row["k"]
+    return words.filter(step >= least) if least is not None else words.limit(0)
 
 
 def fit(training: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model and the table of counts (h, ending, c), from all rows (doc_id, text) of ``training``; null texts are empty."""
+    training = pick(training, "doc_id", "text")
     words = materialise(count_words(training), "words")
-    by_ending = words.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # 65536 endings at most
-    n, v = sum(r["n"] for r in by_ending), sum(r["v"] for r in by_ending)
-    endings = [(r["ending"], r["n"]) for r in by_ending]
-    table = class_table(endings)
-    tokens, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_ending:
-        tokens[table[r["ending"]]] += r["n"]
-        kinds[table[r["ending"]]] += r["v"]
-    w, bias = train(training, table, endings, rounds)
-    known = None
-    if v <= BROADCAST_WORDS:
-        h, c = np.empty(v, np.uint64), np.empty(v, np.int32)
-        got = words.select("h", F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
-        h[:] = got["h"].to_numpy().view(np.uint64)
-        c[:] = got["c"].to_numpy()
-        del got
-        order = np.argsort(h)
-        known = (h[order], c[order])
-    return Model(table, w, bias, n, v, tokens, kinds, known), words
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    edge = int(_EDGE.astype(np.int64))
+    top = words.filter(F.col("h") != edge).orderBy(F.desc("c"), "h").limit(REST * MEMBERS - 1).collect()
+    end = words.filter(F.col("h") == edge).collect()
+    listed = [(r["h"] % (1 << 64), r["ending"], r["c"]) for r in [*top, *end]]
+    chosen = words.sparkSession.createDataFrame([(r["h"],) for r in [*top, *end]], "h long")
+    others = words.join(F.broadcast(chosen), "h", "left_anti").groupBy(F.shiftrightunsigned("h", 59).cast("int").alias("k")).agg(F.sum("c"), F.count("*"))
+    # without training texts the end token is still a member
+    shape = Shape(listed or [(int(_EDGE), _END_ENDING, 1)], {k: (a, b) for k, a, b in others.collect()}, n, v)
+    w, bias = train(training, shape, rounds)
+    got = _frequent(words, v, BROADCAST_WORDS).select("h", F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
+    h, c = got["h"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    order = np.argsort(h)
+    return Model(shape, w, bias, (h[order], c[order])), words
 
 
 _OUT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -260,61 +351,49 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keep: list[str] | Non
     """Columns ``keep`` of ``docs`` with n_tokens, n_known, train_tokens, base_score and score for every whole text.
 
     A null text is empty: one end token. Without training rows all counts are 0 and scores are those of the smoothing alone.
-    Counts reach the texts by broadcast if the vocabulary has at most ``BROADCAST_WORDS`` words, else by a shuffle of (row, word).
+    Counts of the model's own words are looked up where the text is read; if there are more words, those the model does not
+    hold go through a shuffle as (row, word) and meet their counts there.
     """
     keep = keep or ["doc_id"]
-    if model.words is None:
-        return _score_by_join(docs, model, words, keep)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.words, model.w))
-    light = Model(model.table, None, model.bias, model.n, model.v, model.class_tokens, model.class_words, None)
+    docs = pick(docs, *keep, "text")
+    shared, shape = docs.sparkSession.sparkContext.broadcast(model), model.shape
+    whole = model.words is not None and len(model.words[0]) == shape.v
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        (names, c), light.w = shared.value
-        texts, out = texts_of(b.column(len(keep))), []
+        m, texts, out, rare = shared.value, texts_of(b.column(len(keep))), [], []
         for lo, hi in slices(texts):
             s = Stream(texts[lo:hi])
             uniq, where = np.unique(s.h, return_inverse=True)
-            at = np.searchsorted(names, uniq)
-            at[at == len(names)] = 0
-            count = np.where(names[at] == uniq, c[at], 0)[where] if len(names) else np.zeros(len(s.h), np.int64)
-            total = light.class_score(s) + light.within(count, light.table[s.ending])
-            known, base = np.add.reduceat((count > 0).astype(np.int64), s.first), np.add.reduceat(light.base(count), s.first)
-            out.append((s.count, known, base, np.add.reduceat(total, s.first)))
+            count = m.counts(uniq)
+            sums = lambda x: np.add.reduceat(x, s.first)  # noqa: B023, E731
+            within, base = m.within(uniq, count)[where], m.base(count)[where]
+            if not whole:  # words that others know are left to the shuffle
+                unsure = (count == 0)[where]
+                within[unsure] = base[unsure] = 0
+                for f, n in zip(s.first.tolist(), s.count.tolist(), strict=True):
+                    names, tf = np.unique(s.h[f : f + n][unsure[f : f + n]], return_counts=True)
+                    rest = m.shape.targets(names)[0] == REST
+                    rare.append([{"h": a, "tf": t, "rest": r} for a, t, r in zip(names.view(np.int64).tolist(), tf.tolist(), rest.tolist(), strict=True)])
+            out.append((s.count, sums((count > 0).astype(np.int64)[where]), sums(base), sums(m.softmax_score(s) + within)))
         n, known, base, total = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), light.n, np.int64)), pa.array(base), pa.array(total)], [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return map_arrow(docs.select(*keep, "text"), run, f"{schema}, {_OUT}")
-
-
-def _score_by_join(docs: DataFrame, model: Model, words: DataFrame, keep: list[str]) -> DataFrame:
-    """As ``score`` for vocabularies of any size: class scores in the texts, counts by a join on the word's hash."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts, out = texts_of(b.column(len(keep))), []
-        for lo, hi in slices(texts):
-            s = Stream(texts[lo:hi])
-            cls = np.add.reduceat(model.class_score(s), s.first)
-            for i, (f, n) in enumerate(zip(s.first, s.count, strict=True)):
-                names, first, tf = np.unique(s.h[f : f + n], return_index=True, return_counts=True)
-                pairs = [{"h": a, "k": k, "tf": t} for a, k, t in zip(names.view(np.int64).tolist(), model.table[s.ending[f + first]].tolist(), tf.tolist(), strict=True)]
-                out.append((float(cls[i]), pairs))
-        kind = pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int32()), ("tf", pa.int64())]))
-        return pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], kind)], [*keep, "_class", "_w"])
-
-    counted = map_arrow(docs.select(*keep, "text"), run, f"{schema}, _class double, _w array<struct<h:long,k:int,tf:long>>")
-    counted = materialise(counted.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    flat = counted.select("_row", F.explode("_w").alias("_x")).select("_row", F.col("_x.h").alias("h"), F.col("_x.k").alias("k"), F.col("_x.tf").alias("tf"))
-    size = F.element_at(F.array(*[F.lit(float(a + b + 1)) for a, b in zip(model.class_tokens, model.class_words, strict=True)]), F.col("k") + 1)
-    c = F.coalesce("c", F.lit(0))
-    within = F.when(F.col("k") == CLASSES - 1, 0.0).otherwise(F.log10((c + 1) / size))
+        made = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), m.shape.n, np.int64)), pa.array(base), pa.array(total)]
+        lists = [] if whole else [pa.array(rare, pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int64()), ("rest", pa.bool_())])))]
+        return pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made, *lists], [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score", *(["_rare"] if lists else [])])
+
+    if whole:
+        return map_arrow(docs, run, f"{fields}, {_OUT}")
+    scored = map_arrow(docs, run, f"{fields}, {_OUT}, _rare array<struct<h:long,tf:long,rest:boolean>>")
+    scored = materialise(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    flat = scored.select("_row", F.explode("_rare").alias("_x")).select("_row", F.col("_x.h").alias("h"), F.col("_x.tf").alias("tf"), F.col("_x.rest").alias("rest"))
+    sizes = F.array(*[F.lit(float(a + b + 1)) for a, b in zip(shape.cell_tokens, shape.cell_words, strict=True)])
+    c, tf = F.coalesce("c", F.lit(0)), F.col("tf")
+    within = F.when(F.col("rest"), F.log10((c + 1) / F.element_at(sizes, F.shiftrightunsigned("h", 59).cast("int") + 1))).otherwise(0.0)
     sums = flat.join(words.select("h", "c"), "h", "left").groupBy("_row").agg(
-        F.sum("tf").alias("n_tokens"),
-        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(model.n + model.v + 1)))).alias("base_score"),
-        F.sum(F.col("tf") * within).alias("_within"),
+        F.sum(F.when(c > 0, tf).otherwise(0)).alias("_known"),
+        F.sum(tf * F.log10((c + 1) / F.lit(float(shape.n + shape.v + 1)))).alias("_base"),
+        F.sum(tf * within).alias("_within"),
     )
-    out = counted.select("_row", *keep, "_class").join(sums, "_row")
-    return out.select(*keep, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", (F.col("_class") + F.col("_within")).alias("score"))
+    more = lambda x: F.coalesce(x, F.lit(0))
+    out = scored.drop("_rare").join(sums, "_row", "left")
+    return out.select(*keep, "n_tokens", (F.col("n_known") + more("_known")).cast("long").alias("n_known"), "train_tokens", (F.col("base_score") + more("_base")).alias("base_score"), (F.col("score") + more("_within")).alias("score"))
