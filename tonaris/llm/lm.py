@@ -6,7 +6,7 @@ class, given the tokens before it, times that of the token within its class, giv
 * The most frequent words of the training tokens and the end token are the shortlist, sorted by their last two bytes and cut
   into classes of ``MEMBERS``. All other words are one class, whose members are ``MEMBERS`` cells by the word's hash.
 * P(class | history) and P(member | class, history) are softmaxes over sums of hashed feature rows: the previous word, the
-  previous two words, and the word before the previous one (a skip feature); for members the class is hashed in.
+  previous two words, and for classes the word before the previous one (a skip feature); for members the class is hashed in.
 * A word of the shortlist is a member. Within a cell, P(word | cell) is add-one smoothed over the cell's training words, with
   one place for unknown words.
 
@@ -19,6 +19,7 @@ over all training texts.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +33,19 @@ CLASSES, MEMBERS = 32, 32
 #: The class of the words outside the shortlist.
 REST = CLASSES - 1
 #: Training tokens for each feature row, and bounds on the number of rows of each of the two softmax levels.
-TOKENS_PER_ROW, LEAST_ROWS, MOST_ROWS = 1024, 1 << 14, 1 << 18
+TOKENS_PER_ROW, LEAST_ROWS, MOST_ROWS = 4096, 1 << 14, 1 << 18
 ROUNDS = 2
-BATCH = 8192
-#: Training tokens of one learner, and the least number of learners.
-LEARNER_TOKENS, LEAST_LEARNERS = 8_000_000, 12
+#: Tokens of a mini-batch.
+BATCH = 2048
+#: Training tokens of one learner for each feature row, so that its updates are smaller than its texts; and the least number of learners.
+LEARNER_TOKENS_PER_ROW, LEAST_LEARNERS = 64, 12
 #: Words whose counts are broadcast (12 bytes each), the most frequent ones; texts meet the counts of the others in a shuffle.
 BROADCAST_WORDS = 2_000_000
 _EDGE = np.uint64(0xA0761D6478BD642F)
 _END_ENDING = 0
 _BLOCK = 4096
 _NEVER = np.float32(-1e30)
+_ONES = np.ones(MEMBERS, np.float32)
 
 
 class Stream:
@@ -149,22 +152,33 @@ class Shape:
             place = np.where(self.names[at] == h, self.place[at], place)
         return place // MEMBERS, place % MEMBERS
 
-    def samples(self, s: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Two softmax samples for each token, its class and its member: feature rows (3, 2 tokens), bias rows and outcomes."""
+    def samples(self, s: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two softmax samples for each token, its class and its member: feature rows of both (2, 2 tokens) and of classes only (tokens),
+        bias rows and outcomes."""
         shift, past = np.uint64(64 - int(math.log2(self.rows))), s.histories()
         cls, member = self.targets(s.h)
-        inside = mix(past + (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
-        x = np.stack([past >> shift, (inside >> shift) + np.uint64(self.rows)], axis=2).astype(np.int32).reshape(3, -1)
-        return x, np.stack([np.zeros_like(cls), cls + 1], axis=1).reshape(-1).astype(np.uint8), np.stack([cls, member], axis=1).reshape(-1)
-
-
-def _margins(w: np.ndarray, bias: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log weights of all outcomes, the largest of each sample being 0."""
-    z = w[x[0]]
-    z += w[x[1]]
-    z += w[x[2]]
-    z += bias[at]
-    z -= z.max(axis=1, keepdims=True)
+        inside = mix(past[:2] + (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        x = np.stack([past[:2] >> shift, (inside >> shift) + np.uint64(self.rows)], axis=2).astype(np.int32).reshape(2, -1)
+        at = np.stack([np.zeros_like(cls), cls + 1], axis=1).reshape(-1).astype(np.uint8)
+        return x, (past[2] >> shift).astype(np.int32), at, np.stack([cls, member], axis=1).reshape(-1)
+
+
+def _batches(made: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Samples in runs of ``BATCH`` tokens."""
+    x, skip, at, y = made
+    for lo in range(0, len(skip), BATCH):
+        hi = lo + BATCH
+        yield x[:, 2 * lo : 2 * hi], skip[lo:hi], at[2 * lo : 2 * hi], y[2 * lo : 2 * hi]
+
+
+def _margins(w: np.ndarray, bias: np.ndarray, x: np.ndarray, skip: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log weights of all outcomes, none so large that its exponential overflows."""
+    z = w.take(x[0], axis=0)
+    z += w.take(x[1], axis=0)
+    z[::2] += w.take(skip, axis=0)
+    z += bias.take(at, axis=0)
+    if z.max() > 60:
+        z -= z.max(axis=1, keepdims=True)
     return z
 
 
@@ -174,26 +188,28 @@ class _Learner:
         self.used, self.used_b = np.zeros(len(w), np.float32), np.zeros(len(bias), np.float32)
         self.square, self.square_b = np.full(len(w), 1e-2, np.float32), np.full(len(bias), 1e-2, np.float32)
 
-    def update(self, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
+    def update(self, x: np.ndarray, skip: np.ndarray, at: np.ndarray, y: np.ndarray) -> None:
         """One AdaGrad step on a mini-batch; rows that it does not touch stay as they are."""
-        g = np.exp(_margins(self.w, self.bias, x, at))
-        g /= g.sum(axis=1, keepdims=True)
+        z = _margins(self.w, self.bias, x, skip, at)
+        g = np.exp(z, out=z)
+        g *= (1 / (g @ _ONES))[:, None]
         g[np.arange(len(y)), y] -= 1
         for rows in x:
             self._step(self.w, self.square, self.used, rows, g)
+        self._step(self.w, self.square, self.used, skip, g[::2])
         self._step(self.bias, self.square_b, self.used_b, at, g)
 
     def _step(self, table: np.ndarray, square: np.ndarray, used: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable" if rows.dtype == np.uint8 else None)
-        rows = rows[order]
+        rows = rows.take(order)
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         names, n = rows[first], np.diff(np.concatenate([first, [len(rows)]])).astype(np.float32)
-        grad = np.add.reduceat(g[order], first, axis=0)
-        grad /= np.sqrt(n)[:, None]
-        total = square[names] + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+        grad = np.add.reduceat(g.take(order, axis=0), first, axis=0)
+        total = square.take(names) + np.einsum("ij,ij->i", grad, grad) / (n * np.float32(grad.shape[1]))
         square[names] = total
-        grad *= (np.float32(-self.rate / 3) / np.sqrt(total))[:, None]
-        table[names] += grad
+        grad *= (np.float32(-self.rate / 3) / np.sqrt(total * n))[:, None]
+        grad += table.take(names, axis=0)
+        table[names] = grad
         used[names] += n
 
 
@@ -234,7 +250,7 @@ def train(texts: DataFrame, shape: Shape, rounds: int = ROUNDS) -> tuple[np.ndar
     """Weights (2 * rows, MEMBERS) and biases (1 + CLASSES, MEMBERS), from all rows (doc_id, text)."""
     spark = texts.sparkSession
     w, bias, blocks = np.zeros((2 * shape.rows, MEMBERS), np.float32), shape.bias, 2 * shape.rows // _BLOCK
-    learners = max(LEAST_LEARNERS, math.ceil(shape.n / rounds / LEARNER_TOKENS))
+    learners = max(LEAST_LEARNERS, math.ceil(shape.n / rounds / (LEARNER_TOKENS_PER_ROW * shape.rows)))
     fan = math.ceil(math.sqrt(learners))
     for r in range(rounds):
         part = texts.filter(F.floor(unit_hash("doc_id", seed=9) * rounds) == r).select("text").coalesce(learners)
@@ -242,20 +258,12 @@ def train(texts: DataFrame, shape: Shape, rounds: int = ROUNDS) -> tuple[np.ndar
 
         def learn(batches, shared=shared):
             w, bias = shared.value
-            model, held, size = None, [], 0
+            model = None
             for b in batches:
-                model = model or _Learner(w, bias)
-                rows = texts_of(b.column(0))
+                model, rows = model or _Learner(w, bias), texts_of(b.column(0))
                 for lo, hi in slices(rows, 1 << 19):
-                    made = shape.samples(Stream(rows[lo:hi]))
-                    for at in range(0, len(made[2]), 2 * BATCH):
-                        held.append([m[..., at : at + 2 * BATCH] for m in made])
-                        size += len(held[-1][2])
-                        if size >= 2 * BATCH:
-                            model.update(*(np.concatenate(m, axis=-1) for m in zip(*held, strict=True)))
-                            held, size = [], 0
-            if size:
-                model.update(*(np.concatenate(m, axis=-1) for m in zip(*held, strict=True)))
+                    for batch in _batches(shape.samples(Stream(rows[lo:hi]))):
+                        model.update(*batch)
             if model is None:
                 return
             task = TaskContext.get().partitionId() % fan
@@ -284,13 +292,12 @@ class Model:
 
     def softmax_score(self, s: Stream) -> np.ndarray:
         """log10 of P(class | history) P(member | class, history) of each token, in sparse batches."""
-        x, at, y = self.shape.samples(s)
-        out = np.empty(len(y))
-        for lo in range(0, len(y), 2 * BATCH):
-            z = _margins(self.w, self.bias, x[:, lo : lo + 2 * BATCH], at[lo : lo + 2 * BATCH])
-            mine = z[np.arange(len(z)), y[lo : lo + 2 * BATCH]]
-            out[lo : lo + 2 * BATCH] = (mine - np.log(np.exp(z, out=z).sum(axis=1))) / math.log(10)
-        return out.reshape(-1, 2).sum(axis=1)
+        out = []
+        for x, skip, at, y in _batches(self.shape.samples(s)):
+            z = _margins(self.w, self.bias, x, skip, at)
+            mine = z[np.arange(len(z)), y]
+            out.append((mine - np.log(np.exp(z, out=z) @ _ONES)).reshape(-1, 2).sum(axis=1, dtype=np.float64) / math.log(10))
+        return np.concatenate(out)
 
     def within(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 P(token | member) for counts c: 0 on the shortlist."""
@@ -361,7 +368,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keep: list[str] | Non
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        m, texts, out, rare = shared.value, texts_of(b.column(len(keep))), [], []
+        m, texts, out, rare, rares = shared.value, texts_of(b.column(len(keep))), [], [], []
         for lo, hi in slices(texts):
             s = Stream(texts[lo:hi])
             uniq, where = np.unique(s.h, return_inverse=True)
@@ -371,15 +378,20 @@ def score(docs: DataFrame, model: Model, words: DataFrame, keep: list[str] | Non
             if not whole:  # words that others know are left to the shuffle
                 unsure = (count == 0)[where]
                 within[unsure] = base[unsure] = 0
-                for f, n in zip(s.first.tolist(), s.count.tolist(), strict=True):
-                    names, tf = np.unique(s.h[f : f + n][unsure[f : f + n]], return_counts=True)
-                    rest = m.shape.targets(names)[0] == REST
-                    rare.append([{"h": a, "tf": t, "rest": r} for a, t, r in zip(names.view(np.int64).tolist(), tf.tolist(), rest.tolist(), strict=True)])
+                owner, of = np.repeat(np.arange(hi - lo), s.count)[unsure], where[unsure]
+                pair, tf = np.unique(owner * len(uniq) + of, return_counts=True)
+                rare.append((uniq[pair % len(uniq)], tf))
+                rares.append(np.bincount(pair // len(uniq), minlength=hi - lo))
             out.append((s.count, sums((count > 0).astype(np.int64)[where]), sums(base), sums(m.softmax_score(s) + within)))
         n, known, base, total = (np.concatenate(x) for x in zip(*out, strict=True))
         made = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), m.shape.n, np.int64)), pa.array(base), pa.array(total)]
-        lists = [] if whole else [pa.array(rare, pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int64()), ("rest", pa.bool_())])))]
-        return pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made, *lists], [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score", *(["_rare"] if lists else [])])
+        names = [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        if not whole:
+            h, tf = (np.concatenate(x) for x in zip(*rare, strict=True))
+            rows = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(tf, pa.int64()), pa.array(m.shape.targets(h)[0] == REST)], ["h", "tf", "rest"])
+            made.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(rares))]), pa.int32()), rows))
+            names.append("_rare")
+        return pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names)
 
     if whole:
         return map_arrow(docs, run, f"{fields}, {_OUT}")
