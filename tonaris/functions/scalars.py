@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,13 +39,23 @@ def duration_ns(total_frames: Column, source_samples: Column, source_rate: Colum
     return F.floor(F.when((source_samples > 0) & (source_rate > 0), from_source).when(total_frames > 0, from_frames).otherwise(F.lit(0).cast("decimal(38,6)"))).cast("long")
 
 
+@functools.cache
+def _crc_steps() -> tuple[int, ...]:
+    """What eight shifts make of each leading byte."""
+    out = []
+    for b in range(256):
+        crc = b << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+        out.append(crc)
+    return tuple(out)
+
+
 def ogg_crc(page: bytes) -> int:
     """CRC-32 of an Ogg page (polynomial 04c11db7, not reflected), its checksum field counted as zero."""
-    crc = 0
+    crc, steps = 0, _crc_steps()
     for b in page[:22] + b"\0\0\0\0" + page[26:]:
-        crc ^= b << 24
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+        crc = (crc << 8 & 0xFFFFFFFF) ^ steps[crc >> 24 ^ b]
     return crc
 
 

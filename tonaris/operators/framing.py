@@ -91,12 +91,6 @@ def autogain(samples: DataFrame) -> DataFrame:
     return samples.join(energy, "track").withColumns({c: F.col(c) * g for c in "lr"}).drop("_e")
 
 
-def dft_bin(samples: DataFrame, k: int, size: int) -> DataFrame:
-    """One DFT bin of the mono signal of each track's first ``size`` frames."""
-    angle = -2 * math.pi * k / size * F.col("frame")
-    return downmix(samples.filter(F.col("frame") < size)).groupBy("track").agg(F.sum(F.col("mono") * F.cos(angle)).alias("re"), F.sum(F.col("mono") * F.sin(angle)).alias("im"))
-
-
 def dft_bin_blocks(samples: DataFrame, k: int, size: int) -> DataFrame:
     """One DFT bin of the mono signal of every block of ``size`` frames of each track, the last one as short as it is: ``track, block, frames, re, im``."""
     angle = -2 * math.pi * k / size * (F.col("frame") % size)

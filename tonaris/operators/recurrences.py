@@ -1,23 +1,26 @@
 """Ordered recurrences: state is carried from frame to frame within a track.
 
-Each operator is a kernel over one track's arrays. ``per_track`` sorts a track and runs one kernel, or several in
+Each operator is a kernel over one track's arrays. ``per_track`` sorts tracks and runs one kernel, or several in
 one pass (a fused chain costs one shuffle). ``Kernel.step`` keeps state between calls, so a stream gives what a batch gives.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+_NO_TRACK = -(1 << 63)
+#: Other names of the filters.
 _NAMES = {"lp": "lowpass", "hp": "highpass", "bp": "bandpass", "bell": "peaking", "peak": "peaking", "ls": "lowshelf", "hs": "highshelf", "bandstop": "notch", "bs": "notch", "ap": "allpass"}
 
 
 def design(kind: str, rate: float, freq: float, q: float = 0.707, gain: float = 0.0) -> tuple[float, ...]:
-    """Normalised second-order section (b0, b1, b2, a1, a2) from the audio-EQ cookbook."""
+    """Normalised second-order section (b0, b1, b2, a1, a2) by the formulas of the public Audio EQ Cookbook, which are fixed."""
     if not 0 < freq < rate / 2:
         raise ValueError(f"frequency {freq} is outside (0, {rate / 2})")
     kind = kind.strip().lower().replace("-", "")
@@ -106,6 +109,11 @@ class Envelope(Kernel):
 
 
 class Crossfeed(Kernel):
+    """Each side hears the other's lows: a one-pole low pass across, a high shelf straight, brought to unit gain.
+
+    The dB rules and the corner of the shelf are the published ones of the Bauer stereophonic-to-binaural filter, which are fixed.
+    """
+
     def __init__(self, rate: float, cutoff: float = 700.0, feed: float = 4.5):
         level = math.floor(feed * 10 + 0.5) / 10
         low = 10 ** ((-level * 5 / 6 - 3) / 20)
@@ -227,24 +235,47 @@ def equalizer(rate: float, bands: list[tuple[float, float, float]]) -> Biquad:
 
 def meter_levels(peaks: list[float], powers: list[float]) -> list[tuple[float, float]]:
     """Held peak and smoothed RMS after each block; a block that is not finite changes nothing."""
-    peak = mean = 0.0
-    out = []
-    for p, w in zip(peaks, powers, strict=True):
-        if math.isfinite(p) and math.isfinite(w):
-            peak = p if p > peak else peak * math.exp(-1 / 8)
-            mean = w / 16 + (1 - 1 / 16) * mean
-        out.append((peak, math.sqrt(mean)))
-    return out
+    return list(map(tuple, Meter().step(np.column_stack([peaks, powers])).tolist()))
+
+
+class Meter(Kernel):
+    """Blocks (peak, power) in, held peak and smoothed RMS out."""
+
+    def __init__(self):
+        self.peak = self.mean = 0.0
+
+    def step(self, x):
+        out = np.empty_like(x)
+        for i, (p, w) in enumerate(x.tolist()):
+            if math.isfinite(p) and math.isfinite(w):
+                self.peak = p if p > self.peak else self.peak * math.exp(-1 / 8)
+                self.mean = w / 16 + (1 - 1 / 16) * self.mean
+            out[i] = self.peak, math.sqrt(self.mean)
+        return out
 
 
 def per_track(samples: DataFrame, *make: Callable[[], Kernel]) -> DataFrame:
-    """SAMPLES through kernels in series, one grouped pass for all of them."""
+    """SAMPLES through kernels in series, one pass for all of them.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame", kind="stable")
-        x = pdf[["l", "r"]].to_numpy(float)
-        for m in make:
-            x = m().step(x)
-        return pd.DataFrame({"track": pdf["track"], "frame": pdf["frame"], "l": x[:, 0], "r": x[:, 1]})
+    Tracks are dealt out and sorted once; a task then reads its rows as Arrow batches and carries the kernels of the track at
+    hand from batch to batch, so a track of any length takes the memory of one batch. A null track is a track of its own.
+    """
 
-    return samples.select("track", "frame", "l", "r").groupBy("track").applyInPandas(run, "track long, frame long, l double, r double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kernels = None, []
+        for b in batches:
+            tracks = b.column(0).fill_null(_NO_TRACK).to_numpy(zero_copy_only=False)
+            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in (2, 3)]).astype(float)
+            cuts = [0, *(np.flatnonzero(tracks[1:] != tracks[:-1]) + 1).tolist(), len(tracks)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi:
+                    if tracks[lo] != at:
+                        at, kernels = tracks[lo], [m() for m in make]
+                    y = x[lo:hi]
+                    for k in kernels:
+                        y = k.step(y)
+                    x[lo:hi] = y
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], ["track", "frame", "l", "r"])
+
+    own = samples.select(F.col("track").cast("long").alias("track"), F.col("frame").cast("long").alias("frame"), "l", "r")
+    return own.repartition("track").sortWithinPartitions("track", "frame").mapInArrow(run, "track long, frame long, l double, r double")

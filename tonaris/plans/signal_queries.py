@@ -154,13 +154,6 @@ for _name, _hold in (("resample_kernel", False), ("resample_stream", True)):
       SELECT h.track, h.frame, {g(two(_v)[0])} AS l, {g(two(_v)[1])} AS r FROM h LEFT JOIN sig a ON a.track = h.track AND a.frame = h.i LEFT JOIN sig b ON b.track = h.track AND b.frame = h.i + 1""")(
         functools.partial(lambda s, p, h: framing.resample(sig(s, p), 147, 160, h).select("track", "frame", grid(F.col("l")).alias("l"), grid(F.col("r")).alias("r")), h=_hold)
     )
-query("dft_bin", f"SELECT track, {g('sum((l + r) / 2 * cos(-2 * pi() * 3 / 64 * frame))')} AS re, {g('sum((l + r) / 2 * sin(-2 * pi() * 3 / 64 * frame))')} AS im FROM sig WHERE frame < 64 GROUP BY track")(
-    lambda s, p: framing.dft_bin(sig(s, p), 3, 64).select("track", grid(F.col("re")).alias("re"), grid(F.col("im")).alias("im"))
-)
-query("goertzel", f"SELECT track, {g('sqrt(pow(sum((l + r) / 2 * cos(-2 * pi() * 5 / 64 * frame)), 2) + pow(sum((l + r) / 2 * sin(-2 * pi() * 5 / 64 * frame)), 2)) / 32')} AS magnitude FROM sig WHERE frame < 64 GROUP BY track")(
-    lambda s, p: framing.dft_bin(sig(s, p), 5, 64).select("track", grid(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / 32).alias("magnitude"))
-)
-# dft_bin and goertzel read the first 64 frames, as their SQL does; these two read every frame
 query("dft_bin_blocks", f"SELECT track, frame // 64 AS block, count(*) AS frames, {g('sum((l + r) / 2 * cos(-2 * pi() * 3 / 64 * (frame % 64)))')} AS re, {g('sum((l + r) / 2 * sin(-2 * pi() * 3 / 64 * (frame % 64)))')} AS im FROM sig GROUP BY track, frame // 64")(
     lambda s, p: framing.dft_bin_blocks(sig(s, p), 3, 64).select("track", "block", "frames", grid(F.col("re")).alias("re"), grid(F.col("im")).alias("im"))
 )
@@ -191,7 +184,7 @@ def seek_asof(s: SparkSession, p: str) -> DataFrame:
 
 
 # recurrences: the oracle is a recursive query over frames
-def _recursive(state: dict[str, tuple[str, str]], l: str, r: str) -> str:  # noqa: E741
+def recursive(state: dict[str, tuple[str, str]], l: str, r: str) -> str:  # noqa: E741
     """state: name -> (SQL at frame 0, SQL of a later frame); p is the frame before, s the samples."""
     first, later = ", ".join(f"({a})::DOUBLE AS {k}" for k, (a, _) in state.items()), ", ".join(f"({b})::DOUBLE" for _, b in state.values())
     return f"""WITH st AS (SELECT track, frame, l, r, {first} FROM sig s WHERE frame = 0 UNION ALL
@@ -213,42 +206,75 @@ def _biquad_state(c: tuple[float, ...]) -> dict[str, tuple[str, str]]:
     return out
 
 
+def cascade(sections: list[tuple[float, ...]], source: str = "sig", name: str = "c") -> tuple[str, str]:
+    """CTEs of sections in series and the name of the last one, which has track, frame, l and r."""
+    parts = []
+    for k, c in enumerate(sections):
+        st = _biquad_state(c)
+        first, later = ", ".join(f"({a})::DOUBLE AS {n}" for n, (a, _) in st.items()), ", ".join(f"({b})::DOUBLE" for _, b in st.values())
+        parts.append(f"""{name}{k}r AS (SELECT track, frame, l, r, {first} FROM {source} s WHERE frame = 0 UNION ALL
+          SELECT s.track, s.frame, s.l, s.r, {later} FROM {name}{k}r p JOIN {source} s ON s.track = p.track AND s.frame = p.frame + 1),
+          {name}{k} AS MATERIALIZED (SELECT track, frame, yl AS l, yr AS r FROM {name}{k}r)""")
+        source = f"{name}{k}"
+    return ", ".join(parts), source
+
+
 for _kind in ("lowpass", "highpass", "bandpass", "peaking", "lowshelf", "highshelf", "notch", "allpass"):
     _c = recurrences.design(_kind, RATE, 10, 0.707, 6)
-    _kernel(f"biquad_{_kind}", [functools.partial(recurrences.Biquad, _c)], _recursive(_biquad_state(_c), "yl", "yr"))
+    _kernel(f"biquad_{_kind}", [functools.partial(recurrences.Biquad, _c)], recursive(_biquad_state(_c), "yl", "yr"))
 _a = recurrences.smoothing(1 / 5, RATE)
-_kernel("onepole", [functools.partial(recurrences.OnePole, _a)], _recursive({f"y{x}": (f"s.{x} * {d(_a)}", f"p.y{x} + (s.{x} - p.y{x}) * {d(_a)}") for x in "lr"}, "yl", "yr"))
+_kernel("onepole", [functools.partial(recurrences.OnePole, _a)], recursive({f"y{x}": (f"s.{x} * {d(_a)}", f"p.y{x} + (s.{x} - p.y{x}) * {d(_a)}") for x in "lr"}, "yl", "yr"))
 _at, _re = recurrences.smoothing(0.02, RATE), recurrences.smoothing(0.08, RATE)
 for _name, _rms in (("env_peak", False), ("env_rms", True)):
     _in = (lambda x: f"s.{x} * s.{x}") if _rms else (lambda x: f"abs(s.{x})")
     _st = {f"y{x}": (f"CASE WHEN {_in(x)} > 0 THEN {d(_at)} * {_in(x)} ELSE 0 END", f"p.y{x} + CASE WHEN {_in(x)} > p.y{x} THEN {d(_at)} ELSE {d(_re)} END * ({_in(x)} - p.y{x})") for x in "lr"}
-    _kernel(_name, [functools.partial(recurrences.Envelope, _at, _re, _rms)], _recursive(_st, *(("sqrt(yl)", "sqrt(yr)") if _rms else ("yl", "yr"))))
+    _kernel(_name, [functools.partial(recurrences.Envelope, _at, _re, _rms)], recursive(_st, *(("sqrt(yl)", "sqrt(yr)") if _rms else ("yl", "yr"))))
 _cf = recurrences.Crossfeed(RATE, 20, 4.5).c
-_kernel("crossfeed", [functools.partial(recurrences.Crossfeed, RATE, 20, 4.5)], _recursive(
+_kernel("crossfeed", [functools.partial(recurrences.Crossfeed, RATE, 20, 4.5)], recursive(
     {k: v for x in "lr" for k, v in {f"lo{x}": (f"{d(_cf[0])} * s.{x}", f"{d(_cf[0])} * s.{x} + {d(_cf[1])} * p.lo{x}"), f"hi{x}": (f"{d(_cf[2])} * s.{x}", f"{d(_cf[2])} * s.{x} + {d(_cf[3])} * p.{x} + {d(_cf[4])} * p.hi{x}")}.items()},
     f"(hil + lor) * {d(_cf[5])}", f"(hir + lol) * {d(_cf[5])}"))
 
 
-def _limited(linked: bool, link: float) -> str:
+def limited(linked: bool, link: float) -> str:
     t = d(pointwise.db_to_linear(-6))
     level = (lambda x: "greatest(abs(s.l), abs(s.r))") if linked else (lambda x: f"abs(s.{x})")
     up = "1.0::DOUBLE" if linked else d(_at)
     st = {f"e{x}": (f"CASE WHEN {level(x)} > 0 THEN {up} * {level(x)} ELSE 0 END", f"CASE WHEN {level(x)} > p.e{x} THEN " + (level(x) if linked else f"p.e{x} + {up} * ({level(x)} - p.e{x})") + f" ELSE p.e{x} + {d(_re)} * ({level(x)} - p.e{x}) END") for x in "lr"}
-    inner = _recursive(st, "0", "0").rsplit(" SELECT track, frame", 1)[0]
+    inner = recursive(st, "0", "0").rsplit(" SELECT track, frame", 1)[0]
     gain = lambda x: f"CASE WHEN e{x} > {t} THEN {t} / e{x} ELSE 1 END"
     outs = ", ".join(f"{g(f'least({t}, greatest(-{t}, coalesce(lag({x}, 4) OVER w, 0) * coalesce(lag(g{x} + {d(link)} * (least(gl, gr) - g{x}), 4) OVER w, 0)))')} AS {x}" for x in "lr")
     return f"{inner}, gains AS (SELECT track, frame, l, r, {gain('l')} AS gl, {gain('r')} AS gr FROM st) SELECT track, frame, {outs} FROM gains WINDOW w AS (PARTITION BY track ORDER BY frame)"
 
 
 _t = pointwise.db_to_linear(-6)
-_kernel("limiter", [functools.partial(recurrences.Limiter, _t, _at, _re, 4, 0.5)], _limited(False, 0.5))
-_kernel("maximizer", [functools.partial(recurrences.Limiter, _t, 0, _re, 4, 0.0, True)], _limited(True, 0.0))
-_kernel("feedback_delay", [functools.partial(recurrences.FeedbackDelay, 2, 0.5, 0.4)], None)
-_kernel("bass_enhancer", [functools.partial(recurrences.BassEnhancer, RATE, 12, 3, 1.5, 0.4, 0.5)], None)
-_kernel("equalizer", [functools.partial(recurrences.equalizer, RATE, [(5, 1, 3), (12, 1, -4), (30, 1, 2)])], None)
-_kernel("eq20", [functools.partial(recurrences.equalizer, RATE, [(25 * 640 ** (i / 19) / 400, 1.4, (-1) ** i * 2) for i in range(20)])], None)
+_kernel("limiter", [functools.partial(recurrences.Limiter, _t, _at, _re, 4, 0.5)], limited(False, 0.5))
+_kernel("maximizer", [functools.partial(recurrences.Limiter, _t, 0, _re, 4, 0.0, True)], limited(True, 0.0))
+_past = lambda x: f"least(4, greatest(-4, s.{x} + 0.5::DOUBLE * p.p{x}[1]))"
+_kernel("feedback_delay", [functools.partial(recurrences.FeedbackDelay, 2, 0.5, 0.4)], f"""WITH st AS (SELECT track, frame, l, r, [0, 0, least(4, greatest(-4, l))]::DOUBLE[] AS pl, [0, 0, least(4, greatest(-4, r))]::DOUBLE[] AS pr FROM sig WHERE frame = 0
+  UNION ALL SELECT s.track, s.frame, s.l, s.r, list_append(p.pl[2:], {_past('l')}), list_append(p.pr[2:], {_past('r')}) FROM st p JOIN sig s ON s.track = p.track AND s.frame = p.frame + 1)
+  SELECT track, frame, {g('l * 0.6::DOUBLE + pl[3] * 0.4::DOUBLE')} AS l, {g('r * 0.6::DOUBLE + pr[3] * 0.4::DOUBLE')} AS r FROM st""")
+_low, _end = cascade([recurrences.design("lowpass", RATE, 12)])
+_shape = lambda x: f"0.5 * (0.8::DOUBLE * tanh(2 * {x} * {x} - abs({x})) + 0.7::DOUBLE * tanh(4 * {x} * {x} * {x} - 3 * {x}))"
+_high, _top = cascade([recurrences.design("highpass", RATE, 3)], "hs", "k")
+_kernel("bass_enhancer", [functools.partial(recurrences.BassEnhancer, RATE, 12, 3, 1.5, 0.4, 0.5)], f"""WITH {_low}, hb AS (SELECT track, frame, least(1, greatest(-1, l * 1.5::DOUBLE)) AS l, least(1, greatest(-1, r * 1.5::DOUBLE)) AS r FROM {_end}),
+  hs AS MATERIALIZED (SELECT track, frame, {_shape('l')} AS l, {_shape('r')} AS r FROM hb), {_high}
+  SELECT s.track, s.frame, {g('s.l + 0.5 * h.l')} AS l, {g('s.r + 0.5 * h.r')} AS r FROM sig s JOIN {_top} h ON h.track = s.track AND h.frame = s.frame""")
+_bands = [(22, 1, 3), (30, 1, -4), (45, 1, 2)]
+_ctes, _end = cascade([recurrences.design("peaking", RATE, *b) for b in _bands])
+_kernel("equalizer", [functools.partial(recurrences.equalizer, RATE, _bands)], f"WITH {_ctes} SELECT track, frame, {g('l')} AS l, {g('r')} AS r FROM {_end}")
+# twenty bands from 25 Hz to 16 kHz need a real rate
+_bands = [(25 * 640 ** (i / 19), 1.4, (-1) ** i * 2) for i in range(20)]
+_ctes, _end = cascade([recurrences.design("peaking", 48000, *b) for b in _bands])
+_kernel("eq20", [functools.partial(recurrences.equalizer, 48000, _bands)], f"WITH {_ctes} SELECT track, frame, {g('l')} AS l, {g('r')} AS r FROM {_end}")
 _kernel("convolver", [functools.partial(recurrences.Convolver, [0.5123456789, 0.27182818284, 0.1314159265], 8)], _lagged("$ * 0.5123456789::DOUBLE + coalesce(lag($, 1) OVER w, 0) * 0.27182818284::DOUBLE + coalesce(lag($, 2) OVER w, 0) * 0.1314159265::DOUBLE"))
-_kernel("fused_chain", [functools.partial(recurrences.OnePole, _a), functools.partial(recurrences.Biquad, recurrences.design("peaking", RATE, 10, 0.707, 6)), functools.partial(recurrences.Limiter, _t, _at, _re, 4)], None)
+def _fused() -> str:
+    """One-pole, peaking section and limiter one after the other."""
+    one = recursive({f"y{x}": (f"s.{x} * {d(_a)}", f"p.y{x} + (s.{x} - p.y{x}) * {d(_a)}") for x in "lr"}, "yl", "yr").rsplit(" SELECT track, frame", 1)[0].replace("WITH st AS", "WITH o AS", 1).replace("FROM st p", "FROM o p")
+    ctes, end = cascade([recurrences.design("peaking", RATE, 10, 0.707, 6)], "os")
+    return f"{one}, os AS MATERIALIZED (SELECT track, frame, yl AS l, yr AS r FROM o), {ctes}, " + limited(False, 0.0).replace("sig s", f"{end} s")[5:]
+
+
+_kernel("fused_chain", [functools.partial(recurrences.OnePole, _a), functools.partial(recurrences.Biquad, recurrences.design("peaking", RATE, 10, 0.707, 6)), functools.partial(recurrences.Limiter, _t, _at, _re, 4)], _fused())
 
 
 @query("meter_hold", f"""WITH b AS (SELECT track, frame // 8 AS block, max(greatest(abs(l), abs(r))) AS pk, sum(l * l + r * r) / (2 * count(*)) AS pw FROM sig GROUP BY ALL),
@@ -258,13 +284,9 @@ def meter_hold(s: SparkSession, p: str) -> DataFrame:
     """Meter of 8-frame blocks: blocks are summed up first, then folded in order within a track."""
     each = sig(s, p).groupBy("track", F.expr("frame div 8").alias("block")).agg(F.max(F.greatest(F.abs("l"), F.abs("r"))).alias("pk"), (F.sum(F.col("l") * F.col("l") + F.col("r") * F.col("r")) / (2 * F.count("*"))).alias("pw"))
 
-    def run(pdf):
-        pdf = pdf.sort_values("block")
-        levels = recurrences.meter_levels(pdf["pk"].tolist(), pdf["pw"].tolist())
-        return pdf.assign(peak=[a for a, _ in levels], rms=[b for _, b in levels])[["track", "block", "peak", "rms"]]
-
-    out = each.groupBy("track").applyInPandas(run, "track long, block long, peak double, rms double")
-    return out.select("track", "block", grid(F.col("peak")).alias("peak"), grid(F.col("rms")).alias("rms"))
+    blocks = each.select("track", F.col("block").alias("frame"), F.col("pk").alias("l"), F.col("pw").alias("r"))
+    out = recurrences.per_track(blocks, recurrences.Meter)
+    return out.select("track", F.col("frame").alias("block"), grid(F.col("l")).alias("peak"), grid(F.col("r")).alias("rms"))
 
 
 # catalog, dispatch, queues
@@ -330,7 +352,8 @@ query("fsm_fold", f"""WITH c AS (SELECT track, frame, ['playing', 'paused', 'sto
 _toc, _sec = "(event_id * 37 % 256)", "(event_id * 11 % 256)"
 _per = f"(CASE WHEN {_toc} >> 3 >= 16 THEN 120 << CAST(({_toc} >> 3) & 3 AS INT) WHEN {_toc} >> 3 >= 12 THEN CASE WHEN ({_toc} >> 3) & 1 = 1 THEN 960 ELSE 480 END WHEN ({_toc} >> 3) & 3 = 3 THEN 2880 ELSE 480 << CAST(({_toc} >> 3) & 3 AS INT) END)"
 _tot = f"({_per} * CASE {_toc} & 3 WHEN 0 THEN 1 WHEN 3 THEN {_sec} & 63 ELSE 2 END)"
-query("opus_toc_samples", f"SELECT event_id, CAST(CASE WHEN {_tot} <= 0 OR {_tot} > 5760 THEN -1 ELSE {_tot} END AS INT) AS samples FROM events")(
+_TOC_SQL = f"CAST(CASE WHEN {_tot} <= 0 OR {_tot} > 5760 THEN -1 ELSE {_tot} END AS INT)"
+query("opus_toc_samples", f"SELECT event_id, {_TOC_SQL} AS samples FROM events")(
     lambda s, p: table(s, p, "events").select("event_id", scalars.packet_samples((F.col("event_id") * 37 % 256).cast("int"), (F.col("event_id") * 11 % 256).cast("int")).alias("samples"))
 )
 query("clock_format", "SELECT event_id, CASE WHEN event_id >= 3600 THEN (event_id // 3600) || ':' || lpad(CAST(event_id // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') ELSE (event_id // 60) || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') END AS clock FROM events")(

@@ -48,6 +48,8 @@ def parse_wav(data: bytes) -> tuple[int, np.ndarray]:
         raise ValueError("no format chunk")
     kind, channels, rate, _, _, bits = fmt
     width = bits // 8
+    if not channels or not width:
+        raise ValueError(f"{channels} channels of {bits} bits")
     body = body[: len(body) // (width * channels) * width * channels]
     if kind == 3:
         x = np.frombuffer(body, f"<f{width}").astype(float)
@@ -62,21 +64,24 @@ def parse_wav(data: bytes) -> tuple[int, np.ndarray]:
     return rate, np.repeat(x, 2, axis=1) if channels == 1 else x[:, :2]
 
 
-def read_wav(table: DataFrame, chunk: int = 1 << 16) -> DataFrame:
-    """SAMPLES with path and rate from wave files, in chunks; files that can't be read give no rows."""
+def read_wav(table: DataFrame, chunk: int = 1 << 16, errors: bool = False) -> DataFrame:
+    """SAMPLES with path and rate from wave files, in chunks. ``errors``: a column of that name too, and a row for each file that
+    can't be read, which else gives none."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    rate, x = parse_wav(bytes(data))
-                except (ValueError, struct.error):
+                    rate, x = parse_wav(bytes(data or b""))
+                except (ValueError, TypeError, struct.error) as e:
+                    if errors:
+                        yield pd.DataFrame({"path": [path], "rate": pd.array([None], "Int32"), "n": pd.array([None], "Int64"), "frame": pd.array([None], "Int64"), "l": [None], "r": [None], "error": [str(e)]})
                     continue
                 for lo in range(0, len(x), chunk):
                     part = x[lo : lo + chunk]
-                    yield pd.DataFrame({"path": path, "rate": rate, "n": len(x), "frame": np.arange(lo, lo + len(part)), "l": part[:, 0], "r": part[:, 1]})
+                    yield pd.DataFrame({"path": path, "rate": rate, "n": len(x), "frame": np.arange(lo, lo + len(part)), "l": part[:, 0], "r": part[:, 1]} | ({"error": None} if errors else {}))
 
-    return table.select("path", "content").mapInPandas(run, "path string, rate int, n long, frame long, l double, r double")
+    return table.select("path", "content").mapInPandas(run, "path string, rate int, n long, frame long, l double, r double" + (", error string" if errors else ""))
 
 
 def encode_wav(x: np.ndarray, rate: int) -> bytes:
@@ -116,23 +121,42 @@ def adts_frames(data: bytes) -> Iterator[tuple[int, int]]:
         at, sample = at + size, sample + 1024
 
 
-def ebml_elements(data: bytes, lo: int = 0, hi: int | None = None, depth: int = 0, masters: frozenset[int] = frozenset({0x1A45DFA3, 0x18538067, 0x1F43B675, 0x1C53BB6B, 0x1654AE6B, 0xAE, 0xBB, 0xB7, 0x1549A966})) -> Iterator[tuple[int, int, int, int]]:
-    """Offset, id, payload size and depth of every EBML element, master elements walked into; an unknown size runs to the end."""
-    hi = len(data) if hi is None else hi
-    while lo < hi:
-        n = 9 - data[lo].bit_length() if data[lo] else 9
-        if n > 4 or lo + n >= hi:
+#: Elements that hold others, and those that stand right below a segment or at the top.
+MASTERS = frozenset({0x1A45DFA3, 0x18538067, 0x1F43B675, 0x1C53BB6B, 0x1654AE6B, 0xAE, 0xBB, 0xB7, 0x1549A966})
+IN_SEGMENT = frozenset({0x114D9B74, 0x1549A966, 0x1F43B675, 0x1654AE6B, 0x1C53BB6B, 0x1941A469, 0x1043A770, 0x1254C367})
+AT_TOP = frozenset({0x1A45DFA3, 0x18538067})
+
+
+def ebml_elements(data: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """Offset, id, payload size and depth of every EBML element, master elements walked into.
+
+    An element of unknown size ends where one begins that can't be in it: a segment at the next top one, others at the next
+    of a segment's own. Its payload size is what is left of the element around it.
+    """
+    at, open_ = 0, []  # id, end, whether the end is known
+    while at < len(data):
+        while open_ and at >= open_[-1][1]:
+            open_.pop()
+        n = 9 - data[at].bit_length() if data[at] else 9
+        body = at + n
+        if n > 4 or body >= len(data):
             return
-        ident, at = int.from_bytes(data[lo : lo + n]), lo + n
-        m = 9 - data[at].bit_length() if data[at] else 9
-        if m > 8 or at + m > hi:
+        ident = int.from_bytes(data[at:body])
+        while open_ and not open_[-1][2] and ident in (AT_TOP if open_[-1][0] == 0x18538067 else AT_TOP | IN_SEGMENT):
+            open_.pop()
+        hi = open_[-1][1] if open_ else len(data)
+        m = 9 - data[body].bit_length() if data[body] else 9
+        if m > 8 or body + m > hi:
             return
-        size = int.from_bytes(data[at : at + m]) & ((1 << 7 * m) - 1)
-        size = hi - at - m if size == (1 << 7 * m) - 1 else size
-        yield lo, ident, size, depth
-        if ident in masters:
-            yield from ebml_elements(data, at + m, min(hi, at + m + size), depth + 1, masters)
-        lo = at + m + size
+        size = int.from_bytes(data[body : body + m]) & ((1 << 7 * m) - 1)
+        known = size != (1 << 7 * m) - 1
+        end = body + m + size if known else hi
+        yield at, ident, end - body - m, len(open_)
+        if ident in MASTERS:
+            open_.append((ident, min(hi, end), known))
+            at = body + m
+        else:
+            at = end
 
 
 def index(table: DataFrame, kind: str) -> DataFrame:
