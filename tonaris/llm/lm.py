@@ -33,7 +33,7 @@ CLASSES, MEMBERS = 32, 32
 #: The class of the words outside the shortlist.
 REST = CLASSES - 1
 #: Training tokens for each feature row, and bounds on the number of rows of each of the two softmax levels.
-TOKENS_PER_ROW, LEAST_ROWS, MOST_ROWS = 4096, 1 << 14, 1 << 18
+TOKENS_PER_ROW, LEAST_ROWS, MOST_ROWS = 2048, 1 << 15, 1 << 18
 ROUNDS = 2
 #: Tokens of a mini-batch.
 BATCH = 2048
@@ -183,7 +183,7 @@ def _margins(w: np.ndarray, bias: np.ndarray, x: np.ndarray, skip: np.ndarray, a
 
 
 class _Learner:
-    def __init__(self, w: np.ndarray, bias: np.ndarray, rate: float = 0.3):
+    def __init__(self, w: np.ndarray, bias: np.ndarray, rate: float = 1.0):
         self.w, self.bias, self.rate = w.copy(), bias.copy(), rate
         self.used, self.used_b = np.zeros(len(w), np.float32), np.zeros(len(bias), np.float32)
         self.square, self.square_b = np.full(len(w), 1e-2, np.float32), np.full(len(bias), 1e-2, np.float32)
