@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonaris.functions import display, scalars
-from tonaris.operators import buffers, catalog, framing, lookup, pointwise, readings, recurrences, spectral
+from tonaris.operators import buffers, catalog, framing, lookup, pointwise, readings, recurrences, session, spectral
 from tonaris.plans import graph
 from tonaris.plans.signal_queries import _CODECS, _QUEUE, _TOC_SQL, RATE, cascade, d, g, grid, limited, mapped, query, queue, recursive, sig, table, two
 
@@ -176,6 +176,36 @@ query("snapshot", "SELECT user_id, arg_max(event_type, event_id) AS event_type,
     lambda s, p: lookup.latest_snapshot(table(s, p, "events").withColumn("at", F.col("event_id")), "user_id", "event_id", "event_type", "value", "at").select("user_id", "event_type", "value", lookup.reported_position(F.col("at"), F.lit(100)).alias("position"))
 )
 
+_COMMANDS = ["play_queue", "next", "pause", "resume", "seek", "prev", "ended", "repeat", "stop", "move_first"]
+
+
+def _log(s: SparkSession, p: str) -> DataFrame:
+    cmd = F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.col("event_id") * 7 % 10 + 1).cast("int"))
+    return table(s, p, "events").select("user_id", "event_id", cmd.alias("cmd"), (F.col("event_id") * 3 % 5).alias("value"))
+
+
+_k = {c: f"cmd = '{c}'" for c in _COMMANDS}
+_last = 'i + 1 >= "n"'
+_goes = f"({_k['next']} AND n > 0 OR {_k['ended']} AND st = 'playing' AND rep <> 2 AND NOT (rep = 1 AND {_last}))"
+_loops = f"({_k['ended']} AND st = 'playing' AND (rep = 2 OR rep = 1 AND {_last}))"
+_some = f"({_k['play_queue']} AND v > 0 OR {_k['prev']} AND n > 0 OR {_loops} OR {_goes} AND NOT {_last})"
+_halts = f"({_goes} AND {_last} AND st <> 'stopped' OR {_k['stop']} AND st IN ('playing', 'paused'))"
+_change = f"({_some} OR {_halts} OR {_k['pause']} AND st = 'playing' OR {_k['resume']} AND st = 'paused' OR {_k['seek']} AND st IN ('playing', 'paused') OR {_k['repeat']} AND v <= 2 AND v <> rep OR {_k['move_first']} AND v > 0 AND v < n)"
+query("command_fold", f"""WITH q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS o, {_COMMANDS}[CAST(event_id * 7 % 10 + 1 AS INT)] AS cmd, event_id * 3 % 5 AS v FROM events),
+  f AS (SELECT DISTINCT user_id, 0::BIGINT AS o, 'idle' AS st, 0::BIGINT AS i, 0::BIGINT AS n, 0::BIGINT AS pos, 0::BIGINT AS rep, 0::BIGINT AS done FROM q UNION ALL
+    SELECT q.user_id, q.o, CASE WHEN {_some} OR {_k['resume']} AND st = 'paused' THEN 'playing' WHEN {_halts} THEN 'stopped' WHEN {_k['pause']} AND st = 'playing' THEN 'paused' ELSE st END,
+      CASE WHEN {_k['play_queue']} AND v > 0 THEN 0 WHEN {_k['prev']} AND n > 0 THEN greatest(i - 1, 0) WHEN {_loops} THEN CASE WHEN rep = 2 THEN i ELSE 0 END WHEN {_goes} AND NOT {_last} THEN i + 1
+        WHEN {_k['move_first']} AND v > 0 AND v < n THEN CASE WHEN i = v THEN 0 WHEN i < v THEN i + 1 ELSE i END ELSE i END,
+      CASE WHEN {_k['play_queue']} AND v > 0 THEN v ELSE n END, CASE WHEN {_some} OR {_halts} THEN 0 WHEN {_k['seek']} AND st IN ('playing', 'paused') THEN v ELSE pos END,
+      CASE WHEN {_k['repeat']} AND v <= 2 THEN v ELSE rep END, done + {_change}::BIGINT
+    FROM f JOIN q ON q.user_id = f.user_id AND q.o = f.o + 1)
+  SELECT user_id, arg_max(st, o) AS state, arg_max(i, o) AS index, arg_max(n, o) AS length, arg_max(pos, o) AS position, arg_max(rep, o) AS repeat, arg_max(done, o) AS applied FROM f GROUP BY user_id""")(
+    lambda s, p: session.fold(_log(s, p), "user_id", "event_id").drop("shuffle")
+)
+query("params_unknown", "SELECT event_id FROM events WHERE event_type NOT IN ('click', 'view')")(
+    lambda s, p: (lambda e: e.join(s.createDataFrame([("click",), ("view",)], "event_type string"), "event_type", "left_anti").select("event_id"))(table(s, p, "events"))
+)
+
 # display, bytes, maps
 _bar = lambda n, w: f"repeat('█', {n}) || repeat('░', {w} - {n})"
 _share = "least(1, greatest(0, value / 256 - 0.2::DOUBLE))"
