@@ -697,6 +697,29 @@ def test_lines_on_odd_tables(spark, odd):
     assert lines.line_dedup(odd.limit(0)).count() == 0
 
 
+def test_many_frequent_lines_and_languages(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = [(i, "\n".join(rng.choices([f"line {k}" for k in range(40)] + ["common"], k=6)), f"l{i % 3}") for i in range(90)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, known = lines.line_dedup(table, min_docs=5).orderBy("doc_id").collect(), langid.fit(table, max_train=20)
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(langid, "MAX_LITERALS", 1)
+    assert lines.line_dedup(table, min_docs=5).orderBy("doc_id").collect() == few and few != table.orderBy("doc_id").collect()
+    many = langid.fit(table, max_train=20)
+    assert many.names == known.names == ["l0", "l1", "l2"] and (many.codes == known.codes).all() and (many.ranks == known.ranks).all()
+
+
+def test_no_folder_is_made_up_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tonaris.llm import common
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
 def test_first_occurrence_can_stay(spark):
     table = spark.createDataFrame([(3, "x\na"), (1, "b\nx\nx"), (2, "x")], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in lines.line_dedup(table, min_docs=2, keep_first=True).collect()}

@@ -20,8 +20,8 @@ from tonaris.llm.common import CHUNK_BYTES, map_arrow, pick, pieces, unit_hash
 PROFILE = 300
 #: Training texts of each language, about; chosen by a hash of doc_id.
 MAX_TRAIN = 3000
-#: Distinct languages; their profiles are compared with every text.
-MAX_LANGUAGES = 1000
+#: Languages whose rates stand in the plan as literals; the rates of more are a small table. Profiles of all are on the driver.
+MAX_LITERALS = 500
 UNKNOWN = "und"
 _BITS = 21
 
@@ -95,12 +95,16 @@ def fit(labelled: DataFrame, size: int = PROFILE, max_train: int = MAX_TRAIN) ->
     """
     known = pick(labelled, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = dict(map(tuple, known.groupBy("lang").count().toLocalIterator()))
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages; at most {MAX_LANGUAGES} can be told apart")
     # rates stand in the filter, so that texts are drawn where they are read; a language under the limit is taken whole
-    cut = [x for name, n in sizes.items() if n > max_train for x in (F.lit(name), F.lit(max_train / n))]
-    rate = F.coalesce(F.element_at(F.create_map(*cut), F.col("lang")), F.lit(1.0)) if cut else F.lit(1.0)
-    sample = known.filter(unit_hash("doc_id", seed=4) < rate).select("lang", "text")
+    large = {name: max_train / n for name, n in sizes.items() if n > max_train}
+    draw = unit_hash("doc_id", seed=4)
+    if len(large) <= MAX_LITERALS:
+        cut = [F.lit(x) for pair in large.items() for x in pair]
+        rate = F.coalesce(F.element_at(F.create_map(*cut), F.col("lang")), F.lit(1.0)) if cut else F.lit(1.0)
+        sample = known.filter(draw < rate).select("lang", "text")
+    else:
+        rates = known.sparkSession.createDataFrame(list(large.items()), "lang string, _rate double")
+        sample = known.join(F.broadcast(rates), "lang", "left").filter(draw < F.coalesce("_rate", F.lit(1.0))).select("lang", "text")
 
     def count(batches):
         total: dict[str, dict[int, int]] = {}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tonaris.llm.common import LOWER, UPPER, WHITE, aside, materialise
 
-#: Frequent hashes up to this many rows (24 bytes each) are broadcast; above, the join shuffles.
+#: Frequent hashes up to this many rows (24 bytes each) are broadcast; above, the join shuffles by hash and salt.
 BROADCAST_ROWS = 200_000
 
 
@@ -61,8 +61,10 @@ def shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, salts:
     frequent = streamed.groupBy("_h1", "_h2").agg(F.sum(fresh).alias("_docs"), first.alias("_first")).filter(F.col("_docs") >= min_docs)
     frequent = materialise(frequent.select("_h1", "_h2", "_first"), "frequent-lines")
     if frequent.count() <= BROADCAST_ROWS:
-        frequent = F.broadcast(frequent)
-    hit = occurrences.join(frequent, ["_h1", "_h2"])
+        hit = occurrences.join(F.broadcast(frequent), ["_h1", "_h2"])
+    else:  # the salt of a row spreads a very common line over as many tasks
+        frequent = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hit = occurrences.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")).join(frequent, ["_h1", "_h2", "_salt"])
     if keep_first:
         hit = hit.filter(~F.struct("doc_id", "_row", "_pos").eqNullSafe(F.col("_first")))
     return hit.select("_k1", "_k2", "_pos")

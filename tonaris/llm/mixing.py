@@ -23,8 +23,6 @@ CYCLE = 3
 #: Schedules by rank modulo 3, as relative weights in equal phases of training time.
 SCHEDULES = {0: (1.0, 1.0, 1.0, 1.0), 1: (4.0, 3.0, 2.0, 1.0), 2: (1.0, 2.0, 3.0, 4.0)}
 BUCKETS = 1024
-#: The table of sources is one row each and is ranked in one task; more distinct sources than this are refused.
-MAX_SOURCES = 1_000_000
 
 
 def source_targets(sizes: DataFrame, repeats: int = 3) -> DataFrame:
@@ -33,9 +31,7 @@ def source_targets(sizes: DataFrame, repeats: int = 3) -> DataFrame:
     Sources by code point, null last, weigh 1, 2, 3, repeating. An empty table gives no rows.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    totals = materialise(totals, "sources")
-    if (n := totals.count()) > MAX_SOURCES:
-        raise ValueError(f"{n} sources; at most {MAX_SOURCES} can be ranked")
+    totals = materialise(totals, "sources")  # one row for each source; one task ranks them, on disk if they are many
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.orderBy("_ratio", "_rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = Window.orderBy("_ratio", "_rank").rowsBetween(Window.unboundedPreceding, -1)
