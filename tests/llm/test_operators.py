@@ -534,6 +534,31 @@ def test_leaks_against_brute_force(spark, odd):
     assert decontaminate.decontaminate(odd, items).columns == odd.columns
 
 
+def test_long_texts_leak_as_short_ones_do(monkeypatch):
+    rng = random.Random(44)
+    items = [(i, "".join(rng.choice("abcdefgh ,\u00e9") for _ in range(n)).encode()) for i, n in enumerate((3, 9, 40, 120, 300))]
+    texts = [b"", b" ", b" ,.", "\u00e9".encode() * 90, b" - " * 90]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 12)):
+            t = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(0, 14)):
+                at = rng.randrange(max(1, len(t)))
+                t[at : at + 1] = rng.choice([[], [122], [*t[at : at + 1], 113], [32] * 200])
+            parts += [bytes(t), rng.choice([b" \n", b"\x00", b"", b"ijkl " * 30, b" " * 150 + b"- "])]
+        texts.append(b"".join(parts))
+    matcher = decontaminate.Matcher(items)
+    whole = [matcher.find([t])[0] for t in texts]
+    assert {d for hit in whole for d in hit.values()} >= set(range(8))
+    for size in (1, 7, 64, 333):
+        for t in texts:
+            data, _ = decontaminate.normalise([t])
+            assert b"".join(decontaminate.normalised_parts(t, size)) == data[1:-1].tobytes()
+    for size in (16, 64, 333):
+        monkeypatch.setattr(decontaminate, "CHUNK_BYTES", size)
+        assert [matcher.find([t])[0] for t in texts] == whole
+
+
 def test_embeddings_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     rng = np.random.default_rng(4)

@@ -4,7 +4,7 @@ Texts and test items are normalised: A-Z lower-cased, runs of other ASCII charac
 become one space; all other bytes stay. An item of L bytes has a budget of k errors (``errors`` of its length)
 and is split into k + 1 pieces. If the item occurs in a text with at most k edits, at least one piece occurs
 unchanged; so exact piece hits (hashed windows at every byte of the text, then compared) name the places at
-which Myers' bit-parallel distance decides.
+which Myers' bit-parallel distance decides. A long text is read in parts that overlap by the longest item and its errors.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from tonaris.llm.common import RangeHash, aside, map_arrow, materialise, pick, slices, texts_of
+from tonaris.llm.common import CHUNK_BYTES, RangeHash, aside, map_arrow, materialise, pick, slices, texts_of
 
 #: Error budget as a share of the item's length.
 ERRORS = 0.05
@@ -53,6 +53,24 @@ def normalise(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([at[:-1] + 1, [at[-1] + 1]])
 
 
+def normalised_parts(text: bytes, size: int) -> Iterator[bytes]:
+    """The normalised text in parts, from ``size`` bytes of the text each; a space at the end of one is held until something follows."""
+    pending, quiet = False, True
+    for lo in range(0, len(text), size):
+        data = _FOLD[np.frombuffer(text, np.uint8, min(size, len(text) - lo), lo)]
+        blank = data == 32
+        keep = np.ones(len(data), bool)
+        keep[1:] = ~(blank[1:] & blank[:-1])
+        keep[0] = not (blank[0] and quiet)
+        part = data[keep].tobytes()
+        if not part:
+            continue
+        part = b" " + part if pending else part
+        pending = part.endswith(b" ")
+        quiet = pending
+        yield part[:-1] if pending else part
+
+
 def budget(length: int, errors: float) -> int:
     """Errors allowed in an item: a share of its length, with pieces of at least 4 bytes."""
     return max(0, min(int(length * errors), length // 4 - 1))
@@ -100,6 +118,8 @@ class Matcher:
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 width = next(w for w in _WIDTHS if w <= hi - lo)
                 heads.setdefault(width, []).append((body[lo:hi], n, lo))
+        #: Bytes that the place of a hit and what surrounds it take at most.
+        self.reach = max((len(body) + 2 * k for _, body, k in self.items), default=1)
         self.by_width = {}
         for width, pieces in heads.items():
             one = np.frombuffer(b"".join(p[:width] for p, _, _ in pieces), np.uint8)
@@ -112,10 +132,22 @@ class Matcher:
 
     def find(self, texts: list[bytes]) -> list[dict[int, int]]:
         """For each text, item_id -> edit distance of the items that occur in it within their budgets."""
-        data, at = normalise(texts)
-        found: list[dict[int, int]] = [{} for _ in texts]
         if not self.by_width:
-            return found
+            return [{} for _ in texts]
+        if len(texts) != 1 or len(texts[0]) <= CHUNK_BYTES:
+            return self._find(*normalise(texts))
+        best: dict[int, int] = {}
+        carried = b""
+        for part in normalised_parts(texts[0], CHUNK_BYTES):
+            whole = carried + part
+            for item_id, d in self._find(np.frombuffer(b"\x00" + whole + b"\x00", np.uint8), np.array([1, len(whole) + 2]))[0].items():
+                best[item_id] = min(d, best.get(item_id, d))
+            carried = whole[-self.reach :]
+        return [best]
+
+    def _find(self, data: np.ndarray, at: np.ndarray) -> list[dict[int, int]]:
+        """``find`` in normalised texts as ``normalise`` returns them."""
+        found: list[dict[int, int]] = [{} for _ in at[1:]]
         raw = data.tobytes()
         tried: set[tuple[int, int, int]] = set()
         for begin in range(0, len(data), WINDOW):
