@@ -101,3 +101,39 @@ def unique_id(base: str, taken: set[str]) -> str:
         n += 1
         name = f"{base}-{n}"
     return name
+
+
+class Stages:
+    """An editable list of stages ({id, kind, impl?, params?}); ids that it hands out are never used again."""
+
+    def __init__(self, specs: list[dict] | None = None):
+        self.specs, self._given = list(specs or []), 0
+
+    def _at(self, stage: str) -> int:
+        found = [i for i, s in enumerate(self.specs) if s.get("id") == stage]
+        if not found:
+            raise KeyError(f"no stage {stage!r}")
+        return found[0]
+
+    def add(self, kind: str, impl: str = "", **params: object) -> str:
+        """Append a stage and return its id: its implementation or kind, and a number."""
+        if not kind:
+            raise ValueError("a stage needs a kind")
+        taken = {s.get("id") for s in self.specs}
+        while True:
+            self._given += 1
+            stage = f"{impl or kind}-{self._given}"
+            if stage not in taken:
+                self.specs.append({"id": stage, "kind": kind, "impl": impl, "params": params})
+                return stage
+
+    def remove(self, stage: str) -> None:
+        """Take out the first stage of this id."""
+        del self.specs[self._at(stage)]
+
+    def move(self, stage: str, to: int) -> None:
+        """Put the first stage of this id at a place of the list."""
+        at = self._at(stage)
+        if not 0 <= to < len(self.specs):
+            raise IndexError(f"no place {to} among {len(self.specs)} stages")
+        self.specs.insert(to, self.specs.pop(at))

@@ -12,10 +12,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tonaris.sources.files import ogg_pages, parse_wav
+from tonaris.sources.files import ebml_elements, ogg_pages, parse_wav
 
 #: Bit rates and sample rates of MPEG audio layer III, by version.
 _KBPS = {1: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+#: Ids of WebM elements.
+SCALE, DURATION, TRACK, NUMBER, KIND, CODEC, PRIVATE, DELAY = 0x2AD7B1, 0x4489, 0xAE, 0xD7, 0x83, 0x86, 0x63A2, 0x56AA
+SEGMENT, CLUSTER, TIME, SIMPLE, GROUP, BLOCK, PADDING, CUE, CUE_TIME, CUE_PLACE = 0x18538067, 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x75A2, 0xBB, 0xB3, 0xF1
+#: Where the last page of an Ogg file is looked for first.
+TAIL = 1 << 16
 _RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 
@@ -155,15 +160,24 @@ def ogg_packets(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
             held[serial] = (seq, rest + data[body : body + sum(table[start:])])
 
 
-def ogg(data: bytes) -> dict:
-    """Channels, pre-skip and length at 48 kHz of an Ogg Opus file: the last good page's granule less the pre-skip."""
-    pages = [(o, g, q) for o, g, q, good in ogg_pages(data) if good]
+def ogg(data: bytes, tail: int = TAIL) -> dict:
+    """Channels, pre-skip and length at 48 kHz of an Ogg Opus file: the last good page's granule less the pre-skip.
+
+    That page is looked for in the last ``tail`` bytes, and if none is whole there, in all of the file. Without one the length
+    is not known; a granule before the pre-skip is an error.
+    """
     first = next((p for *_, p in ogg_packets(data)), b"")
     if first[:8] != b"OpusHead" or len(first) < 19:
         raise ValueError("not an Ogg Opus file")
     skip = struct.unpack_from("<H", first, 10)[0]
-    ends = [g for _, g, _ in pages if g >= 0]
-    return {"container": "ogg", "codec": "opus", "rate": 48000, "channels": first[9], "total": max(0, ends[-1] - skip) if ends else None, "skip": skip, "gain": struct.unpack_from("<h", first, 16)[0]}
+    last = None
+    for part in (data[-tail:], data):
+        last = max((o, g) for o, g in [(-1, -1), *((o, g) for o, g, _, good in ogg_pages(part) if good and g >= 0)])[1]
+        if last >= 0:
+            break
+    if 0 <= last < skip:
+        raise ValueError(f"granule {last} is before the pre-skip {skip}")
+    return {"container": "ogg", "codec": "opus", "rate": 48000, "channels": first[9], "total": last - skip if last >= 0 else None, "skip": skip, "gain": struct.unpack_from("<h", first, 16)[0]}
 
 
 def wav(data: bytes) -> dict:
@@ -220,7 +234,116 @@ def laced(block: bytes) -> list[bytes]:
     return [*out, block[at:]]
 
 
-PROBES = {"flac": flac, "mp3": mp3, "m4a": m4a, "ogg": ogg, "wav": wav}
+def packet_length(packet: bytes) -> int:
+    """Samples at 48 kHz of an Opus packet, -1 if it can't be timed."""
+    if not packet:
+        return -1
+    config, code = packet[0] >> 3, packet[0] & 3
+    if config < 12:
+        each = (480, 960, 1920, 2880)[config & 3]
+    else:
+        each = 480 << (config & 1) if config < 16 else 120 << (config & 3)
+    count = 1 + (code > 0) if code < 3 else packet[1] & 63 if len(packet) > 1 else 0
+    return each * count if 0 < each * count <= 5760 else -1
+
+
+def _block_length(block: bytes, padding: int) -> int:
+    """Samples of a block's packets: a positive padding (nanoseconds) cuts its end, a negative one adds silence."""
+    n = sum(max(0, packet_length(p)) for p in laced(block))
+    cut = (abs(padding) * 48_000 + 500_000_000) // 1_000_000_000
+    return n - min(n, cut) if padding > 0 else n + cut
+
+
+def _webm(data: bytes) -> dict:
+    """What one walk over a WebM file finds: scale, duration, where its segment begins, the Opus track, its clusters and cues."""
+    out: dict = {"scale": 1_000_000, "duration": None, "segment": 0}
+    tracks, clusters, cues = [], [], []
+    for at, ident, size, _ in ebml_elements(data):
+        part = _payload(data, at, size) if ident not in (SEGMENT, CLUSTER) else b""
+        value = int.from_bytes(part) if size <= 8 else 0
+        if ident == SEGMENT:
+            out["segment"] = at + 4 + 9 - data[at + 4].bit_length()
+        elif ident == SCALE:
+            out["scale"] = value or 1_000_000
+        elif ident == DURATION and size in (4, 8):
+            out["duration"] = struct.unpack(">f" if size == 4 else ">d", part)[0]
+        elif ident == TRACK:
+            tracks.append({})
+        elif ident in (NUMBER, KIND, DELAY) and tracks:
+            tracks[-1].setdefault(ident, value)
+        elif ident in (CODEC, PRIVATE) and tracks:
+            tracks[-1].setdefault(ident, part)
+        elif ident == CLUSTER:
+            clusters.append({"offset": at, "time": 0, "blocks": []})
+        elif ident == TIME and clusters:
+            clusters[-1]["time"] = value
+        elif ident == SIMPLE and clusters:
+            clusters[-1]["blocks"].append((part, 0))
+        elif ident == GROUP and clusters:
+            inside = {i: _payload(part, o, n) for o, i, n, _ in ebml_elements(part)}
+            if BLOCK in inside:
+                clusters[-1]["blocks"].append((inside[BLOCK], int.from_bytes(inside.get(PADDING, b""), signed=True)))
+        elif ident == CUE:
+            cues.append({})
+        elif ident in (CUE_TIME, CUE_PLACE) and cues:
+            cues[-1][ident] = value
+    track = next((t for t in tracks if t.get(KIND) == 2 and t.get(CODEC, b"").rstrip(b"\0") == b"A_OPUS"), None)
+    if track is None:
+        raise ValueError("no Opus track")
+    position = 0
+    for c in clusters:
+        c["position"] = position
+        position += sum(_block_length(block, padding) for block, padding in c.pop("blocks") if vint(block, 0)[0] == track.get(NUMBER))
+        c["time"] *= out["scale"]
+        c["samples"] = position - c["position"]
+    points = sorted((c[CUE_TIME] * out["scale"], out["segment"] + c[CUE_PLACE]) for c in cues if len(c) == 2)
+    return out | {"track": track, "clusters": clusters, "cues": points, "samples": position}
+
+
+def _payload(data: bytes, at: int, size: int) -> bytes:
+    """The payload of the element at an offset."""
+    at += 9 - data[at].bit_length()
+    at += 9 - data[at].bit_length()
+    return data[at : at + size]
+
+
+def webm(data: bytes) -> dict:
+    """Channels, pre-skip and length at 48 kHz of a WebM file's first Opus track, by its stated duration or else by its packets."""
+    found = _webm(data)
+    head, ticks = found["track"].get(PRIVATE, b""), found["duration"]
+    skip = (found["track"].get(DELAY, 0) * 48_000 + 500_000_000) // 1_000_000_000
+    if not skip and head[:8] == b"OpusHead" and len(head) >= 12:
+        skip = struct.unpack_from("<H", head, 10)[0]
+    whole = int(ticks * found["scale"] * 48_000 / 1e9 + 0.5) if ticks is not None and 0 < ticks < 1e18 else found["samples"]
+    return {"container": "webm", "codec": "opus", "rate": 48000, "channels": head[9] if len(head) > 9 else None, "total": whole - skip if whole >= skip else None, "skip": skip}
+
+
+def _rows(table: DataFrame, names: list[str], walk) -> DataFrame:
+    """``path, names..., error`` of files (path, content): a row for each tuple, or one with an error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows = [(path, *r, None) for r in walk(bytes(data))]
+                except (ValueError, TypeError, IndexError, struct.error) as e:
+                    rows = [(path, *[None] * len(names), f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["path", *names, "error"]).astype(dict.fromkeys(names, "Int64"))
+
+    return table.select("path", "content").mapInPandas(run, "path string, " + ", ".join(f"{n} long" for n in names) + ", error string")
+
+
+def clusters(table: DataFrame) -> DataFrame:
+    """Seek index of WebM files: offset, time, and first sample and samples at 48 kHz of each cluster, by its packets and paddings."""
+    return _rows(table, ["offset", "time_ns", "position", "samples"], lambda d: [(c["offset"], c["time"], c["position"], c["samples"]) for c in _webm(d)["clusters"]])
+
+
+def cues(table: DataFrame) -> DataFrame:
+    """Cue points of WebM files by time: where in the file the cluster of each begins."""
+    return _rows(table, ["time_ns", "offset"], lambda d: _webm(d)["cues"])
+
+
+PROBES = {"flac": flac, "mp3": mp3, "m4a": m4a, "ogg": ogg, "wav": wav, "webm": webm}
 _FIELDS = {"container": "string", "codec": "string", "rate": "long", "channels": "long", "total": "long", "skip": "long"}
 
 
