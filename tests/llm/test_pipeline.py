@@ -1,9 +1,11 @@
 """The pipeline's stages against plain versions of what they must keep."""
 
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.test_operators import ODD, brute_lines, fold
+from tests.llm.test_operators import ODD, brute_lines, fold, union_find, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -47,6 +49,23 @@ def test_one_of_each_group_stays(steps):
     assert all(kept_id in low.values() for kept_id in kept) and len(kept) > 0.5 * before.count()
 
 
+def test_the_groups_are_those_of_all_pairs(steps):
+    before, after = steps["simhash"]
+    texts = {r["doc_id"]: words(r["text"]) for r in before.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in texts.items()}
+    holders = {}
+    for i, mine in sets.items():
+        for x in mine:
+            holders.setdefault(x, []).append(i)
+    links = []
+    for i, mine in sets.items():
+        common = Counter(j for x in mine for j in holders[x] if j > i)
+        links += [(i, j) for j, n in common.items() if n >= 0.8 * (len(mine) + len(sets[j]) - n) - 1e-9]
+    group = union_find(links, sets)
+    assert len({len(sets[i] ^ sets[j]) for i, j in links}) > 1  # not only equal sets
+    assert {r["doc_id"] for r in after.collect()} == {i for i, g in group.items() if i == g}
+
+
 def test_leaks_go(spark, steps):
     before, after = steps["benchmark"]
     items = [fold(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
