@@ -90,8 +90,8 @@ query("packet_positions", f"SELECT user_id, event_id, CAST(coalesce(sum(greatest
 query("packet_duration_sum", f"SELECT user_id, CAST(sum(greatest(greatest({_TOC_SQL}, 0) - event_id % 50, 0)) AS BIGINT) AS total FROM events GROUP BY user_id")(
     lambda s, p: readings.durations(_packets(s, p), "user_id", "samples", "padding")
 )
-query("page_start", "SELECT track, frame AS granule, lag(frame, 1, 0) OVER (PARTITION BY track ORDER BY frame) AS start FROM sig WHERE frame % 8 = 0")(
-    lambda s, p: readings.page_starts(sig(s, p).filter("frame % 8 = 0").select("track", F.col("frame").alias("granule")), "track", "granule")
+query("page_start", "SELECT track, frame * 8 AS granule, lag(frame * 8, 1, 0) OVER (PARTITION BY track ORDER BY frame) AS start FROM sig")(
+    lambda s, p: readings.page_starts(sig(s, p).select("track", F.expr("frame * 8").alias("granule")), "track", "granule")
 )
 query("header_gain", f"SELECT event_id, {g('pow(10, (event_id % 4000 - 2000) / 5120.0::DOUBLE)')} AS gain FROM events")(
     lambda s, p: table(s, p, "events").select("event_id", grid(readings.header_gain(F.col("event_id") % 4000 - 2000)).alias("gain"))

@@ -176,11 +176,11 @@ def crossfade_mix(s: SparkSession, p: str) -> DataFrame:
     return framing.crossfade(out, into, 16).select("id", "i", grid(F.col("l")).alias("l"), grid(F.col("r")).alias("r"))
 
 
-@query("seek_asof", """WITH x AS (SELECT track, frame AS pos, n // 2 AS target FROM sig WHERE frame % 8 = 0)
+@query("seek_asof", """WITH x AS (SELECT track, frame * 8 AS pos, n * 8 // 2 AS target FROM sig)
   SELECT track, target, coalesce(max(pos) FILTER (pos <= target - 5), min(pos)) AS pos FROM x GROUP BY track, target""")
 def seek_asof(s: SparkSession, p: str) -> DataFrame:
     x = sig(s, p)
-    return framing.seek(x.filter("frame % 8 = 0").select("track", F.col("frame").alias("pos")), x.select("track", F.expr("n div 2").alias("target")).distinct(), 5)
+    return framing.seek(x.select("track", F.expr("frame * 8").alias("pos")), x.select("track", F.expr("n * 8 div 2").alias("target")).distinct(), 5)
 
 
 # recurrences: the oracle is a recursive query over frames
