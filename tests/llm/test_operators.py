@@ -294,6 +294,33 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_turns(table.limit(0))).count() == 0
 
 
+def test_chat_prefixes_are_expanded(spark, monkeypatch):
+    rows = [(1, i, ("user", "assistant", "assistant")[i % 3], f"é<|{i}\\") for i in range(700)]
+    rows += [(2, 0, "assistant", "first"), (2, 1, "user", "last"), (3, 0, "user", "no reply"), (3, 400, "user", "a block on"), (4, 300, "assistant", "")]
+    turns = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want, whole = {}, {}
+    for conv, turn, role, text in rows:
+        head, said = f"<|im_start|>{role}\n", text.replace("\\", "\\0").replace("<|", "<\\1") + "<|im_end|>"
+        if role == "assistant":
+            want[conv, turn] = (whole.get(conv, "") + head, said)
+        whole[conv] = whole.get(conv, "") + head + said + "\n"
+    rest = chat.expand(turns).filter("reply IS NULL").collect()
+    assert {(r["conv_id"], r["turn"]): (r["context"], r["reply"]) for r in chat.inline_contexts(turns).collect()} == want
+    assert {c: max((r["context"] for r in rest if r["conv_id"] == c), key=len) for c in whole} == whole
+    right = {r["conv_id"]: r for r in chat.read_back(turns).collect()}
+    expand = chat.expand
+
+    def differs(column, conv, turn, old, new):
+        here = F.col("reply").isNotNull() & (F.col("conv_id") == conv) & (F.col("turn") == turn)
+        wrong = F.when(here, F.replace(column, F.lit(old), F.lit(new))).otherwise(F.col(column))
+        monkeypatch.setattr(chat, "expand", lambda t: expand(t).withColumn(column, wrong))
+        got = {r["conv_id"]: r for r in chat.read_back(turns).collect()}
+        return {(c, n) for c in right for n in ("turns_sha256", "loss_sha256") if got[c][n] != right[c][n]}
+
+    assert differs("context", 1, 400, "user", "USER") == {(1, "turns_sha256")}
+    assert differs("reply", 2, 0, "first", "other") == {(2, "turns_sha256"), (2, "loss_sha256")}
+
+
 def test_language_on_held_out_documents(spark, odd):
     out = q.op4_langid(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     assert (out[out.held_out].lang_pred == out[out.held_out].lang).mean() > 0.97

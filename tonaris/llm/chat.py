@@ -1,10 +1,10 @@
 """Chat formatting by prefix-target expansion, with DataFrame functions only.
 
-Every turn becomes a segment ``<|im_start|>role\\ntext<|im_end|>\\n``. Every assistant turn is an example of
-its own: all segments before it are its context, and only its reply is trainable. Contexts of one
-conversation are prefixes of the same string, so an example holds its context as a length into that string
-(``context_chars``) beside its own reply: the expansion stays linear in the input, also for a conversation
-of many thousand turns. ``inline_contexts`` writes contexts out where that is wanted.
+Every turn becomes a segment ``<|im_start|>role\\ntext<|im_end|>\\n`` (``format_turns``). Every assistant turn is
+then expanded into an example of its own (``expand``): its prefix, all segments before it, written out, and its
+target, the reply, which alone is trainable. ``read_back`` takes its results from these examples. Prefixes of one
+conversation grow with the square of its length; they are made row by row and never gathered. ``examples`` has
+them as lengths into the conversation's formatted text, for where that is enough.
 
 Escapes: backslash -> \\0, <| -> <\\1, line feed -> \\2 (in roles only; texts keep theirs). After that every
 backslash is followed by a digit and no text holds ``<|``, so markers are unambiguous and the
@@ -42,12 +42,12 @@ def unescape_role(c: Column) -> Column:
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """``conv_id, block, turn, role, segment, reply_chars, context_chars, example`` for each row.
+    """``conv_id, block, turn, role, segment, reply_chars, context_chars, context_bytes, example`` for each row.
 
     Rows stand in order of turn (null first), then role, then text; repeated rows are repeated turns. A null
     role or text is empty; a null conv_id is a conversation of its own. ``reply_chars`` is the length of the
     trainable part of the segment (escaped text and end mark; 0 unless the role is assistant), ``context_chars``
-    the length of all segments before it. ``example`` is true for the turns that are examples.
+    and ``context_bytes`` the length of all segments before it. ``example`` is true for the turns that ``expand`` makes examples of.
     Extra columns are left out. An empty table gives an empty table.
     """
     rows = pick(conversations, "conv_id", "turn", "role", "text")
@@ -62,14 +62,16 @@ def format_turns(conversations: DataFrame) -> DataFrame:
         return F.struct(x["turn"].alias("turn"), x["role"].alias("role"), segment.alias("segment"), reply.alias("reply_chars"))
 
     blocks = blocks.select("conv_id", "block", F.transform("_t", part).alias("_s"))
-    chars = F.aggregate("_s", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x["segment"]))
+    sizes = {"chars": F.length, "bytes": F.octet_length}
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_chars", chars).withColumn("_offset", F.coalesce(F.sum("_chars").over(earlier), F.lit(0)))
-    each = blocks.select("conv_id", "block", "_offset", F.posexplode("_s").alias("_pos", "_x"))
-    each = each.select("conv_id", "block", "_offset", "_pos", "_x.*")
+    total = lambda size: F.aggregate("_s", F.lit(0).cast("long"), lambda acc, x: acc + size(x["segment"]))
+    blocks = blocks.withColumns({f"_{n}": total(size) for n, size in sizes.items()})
+    blocks = blocks.withColumns({f"_{n}_offset": F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)) for n in sizes})
+    each = blocks.select("conv_id", "block", *[f"_{n}_offset" for n in sizes], F.posexplode("_s").alias("_pos", "_x"))
+    each = each.select("conv_id", "block", *[f"_{n}_offset" for n in sizes], "_pos", "_x.*")
     within = Window.partitionBy("conv_id", "block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_offset") + F.coalesce(F.sum(F.length("segment")).over(within), F.lit(0))
-    return each.select("conv_id", "block", "turn", "role", "segment", "reply_chars", before.alias("context_chars"), (F.col("role") == "assistant").alias("example"))
+    before = [(F.col(f"_{n}_offset") + F.coalesce(F.sum(size("segment")).over(within), F.lit(0))).alias(f"context_{n}") for n, size in sizes.items()]
+    return each.select("conv_id", "block", "turn", "role", "segment", "reply_chars", *before, (F.col("role") == "assistant").alias("example"))
 
 
 def examples(turns: DataFrame) -> DataFrame:
@@ -107,34 +109,62 @@ def formatted(turns: DataFrame) -> DataFrame:
     return _joined(turns, text=F.col("segment"))
 
 
+def expand(turns: DataFrame) -> DataFrame:
+    """Prefix-target expansion: ``conv_id, block, turn, start, context, reply``, a row for each assistant turn and one that closes each block.
+
+    ``context`` is the prefix written out: the formatted text of all turns before and the reply's own header. ``reply`` is the target, which
+    alone is trainable. ``start`` is the byte of the context at which the block or, in it, what follows the reply before begins: what a context
+    holds from there on no earlier one has. The row that closes a block has all formatted text to its end as its context and a null reply.
+    """
+    before = F.length("segment") - 1 - F.col("reply_chars")
+    at = F.col("context_bytes") + F.octet_length(_cut("segment", F.lit(0), before))
+    span = F.struct(at.alias("at"), (at + F.octet_length(_cut("segment", before, F.col("reply_chars")))).alias("end"), "turn")
+    segments, wanted = F.collect_list(F.struct("context_bytes", "segment")), F.collect_list(F.when(F.col("example"), span))
+    blocks = turns.groupBy("conv_id", "block").agg(F.sort_array(segments).alias("_s"), F.sort_array(wanted).alias("_e"))
+    blocks = blocks.select("conv_id", "block", F.col("_s")[0]["context_bytes"].alias("_at"), F.array_join(F.col("_s")["segment"], "").alias("_text"), "_e")
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_head", F.array_join(F.collect_list("_text").over(earlier), ""))
+    closing = F.struct((F.col("_at") + F.octet_length("_text")).alias("at"), F.lit(None).cast("long").alias("end"), F.lit(None).cast(turns.schema["turn"].dataType).alias("turn"))
+    starts = F.concat(F.array("_at"), F.transform("_e", lambda e: e["end"]))
+    spans = F.zip_with(F.concat("_e", F.array(closing)), starts, lambda e, start: F.struct(start.alias("start"), e.alias("e")))
+    text = [F.col(n).cast("binary").alias(n) for n in ("_head", "_text")]
+    each = blocks.select("conv_id", "block", "_at", *text, spans.alias("_spans")).select("conv_id", "block", "_at", "_head", "_text", F.explode("_spans").alias("_x"))
+    each = each.select("conv_id", "block", "_at", "_head", "_text", "_x.start", "_x.e.*")
+    context = F.concat("_head", _cut("_text", F.lit(0), F.col("at") - F.col("_at"))).cast("string")
+    reply = _cut("_text", F.col("at") - F.col("_at"), F.col("end") - F.col("at")).cast("string")
+    return each.select("conv_id", "block", "turn", "start", context.alias("context"), reply.alias("reply"))
+
+
+def _cut(of: str | Column, at: Column, n: Column) -> Column:
+    """Characters of a string; bytes of a binary, for which nothing before them is looked at."""
+    return F.substring(of, (at + 1).cast("int"), n.cast("int"))
+
+
 def inline_contexts(turns: DataFrame) -> DataFrame:
     """Examples with their contexts written out: ``conv_id, turn, context, reply``. Its size grows with the square of a conversation's length."""
-    whole = formatted(turns).select(F.col("conv_id").alias("_c"), F.col("text").alias("_t"))
-    each = examples(turns).join(whole, F.col("conv_id").eqNullSafe(F.col("_c")))
-    context = F.substring(F.col("_t"), F.lit(1), F.col("context_chars").cast("int"))
-    return each.select("conv_id", "turn", context.alias("context"), F.substring(F.col("_t"), (F.col("context_chars") + 1).cast("int"), F.col("reply_chars").cast("int")).alias("reply"))
+    return expand(turns).filter(F.col("reply").isNotNull()).select("conv_id", "turn", "context", "reply")
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """What the formatted output holds, by conversation: roles and texts parsed from its formatted text, replies from its examples.
+    """What the expanded examples hold, by conversation: roles and texts parsed from contexts and replies, the loss from the replies.
 
-    ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``. Text and examples meet block by block: an
-    example's reply is cut from the text at the end of its context.
+    ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``. Each example gives the turns that its context has
+    beyond those of the example before, and its reply; the row that closes a block gives those that follow its last reply.
     """
-    segments, wanted = F.collect_list(F.struct("context_chars", "segment")), F.collect_list(F.when(F.col("example"), _example()))
-    blocks = turns.groupBy("conv_id", "block").agg(F.sort_array(segments).alias("_s"), F.sort_array(wanted).alias("_e"))
-    blocks = blocks.select("conv_id", F.col("_s")[0]["context_chars"].alias("at"), F.array_join(F.col("_s")["segment"], "").alias("text"), "_e")
+    mark = END[:-1]
+    fresh = _cut(F.col("context").cast("binary"), F.col("start"), F.octet_length("context")).cast("string")
+    each = expand(turns).select("conv_id", "start", F.concat(fresh, F.coalesce("reply", F.lit(""))).alias("new"), "reply")
+    reply = F.coalesce(unescape(_cut("reply", F.lit(0), F.length("reply") - len(mark))), F.lit(""))
 
     def turn(x: Column) -> Column:
+        x = F.substring_index(x, START, -1)
         role = F.substring_index(x, "\n", 1)
-        return F.concat(unescape_role(F.substring(role, F.lit(len(START) + 1), F.length(role))), F.lit("\n"), unescape(F.substring(x, F.length(role) + 2, F.length(x))), F.lit("\n"))
+        return F.concat(unescape_role(role), F.lit("\n"), unescape(F.substring(x, F.length(role) + 2, F.length(x))), F.lit("\n"))
 
-    parsed = F.split("text", END.replace("|", "\\|"))  # the last part is what follows the last end mark: nothing
+    parsed = F.split("new", mark.replace("|", "\\|"))  # the last part is what follows the last end mark: nothing, or its line feed
     said = F.array_join(F.transform(F.slice(parsed, F.lit(1), F.size(parsed) - 1), turn), "")
-    cut = lambda e: unescape(F.substring(F.col("text"), (e["context_chars"] - F.col("at") + 1).cast("int"), (e["reply_chars"] - (len(END) - 1)).cast("int")))
-    reply = F.array_join(F.transform("_e", cut), "")
-    one = F.struct("at", (F.size(parsed) - 1).cast("long").alias("n"), said.alias("said"), reply.alias("reply"), F.length("text").cast("long").alias("chars"))
-    whole = blocks.select("conv_id", one.alias("_b")).groupBy("conv_id").agg(F.sort_array(F.collect_list("_b")).alias("_b"))
+    one = F.struct("start", (F.size(parsed) - 1).cast("long").alias("n"), said.alias("said"), reply.alias("reply"), F.length("new").cast("long").alias("chars"))
+    whole = each.select("conv_id", one.alias("_b")).groupBy("conv_id").agg(F.sort_array(F.collect_list("_b")).alias("_b"))
     total = lambda of: F.aggregate("_b", F.lit(0).cast("long"), lambda acc, b: acc + b[of])
     joined = lambda of: F.array_join(F.col("_b")[of], "")
     return whole.select(
